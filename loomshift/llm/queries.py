@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomshift.llm import exact_dedup
+from loomshift.llm import exact_dedup, packing, pii
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
 QUERIES: dict[str, Query] = {}
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts."""
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
@@ -23,3 +30,19 @@ QUERIES["op5_exact_dedup"] = Query(
               sha256(coalesce(text, '')) AS text_sha256
        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES["op6_packing"] = Query(op6_packing)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_pii"] = Query(op10_pii)

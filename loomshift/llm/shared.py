@@ -38,6 +38,11 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows in an Arrow batch: few, since one text can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
