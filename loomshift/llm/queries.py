@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomshift.llm import exact_dedup, packing, pii
+from loomshift.llm import exact_dedup, packing, pii, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -18,6 +19,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(by: int) -> Column:
+    """The fold of a document: the CRC-32 of its id as text, modulo `by`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(remainder(4) != 2)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES["op1_toxicity"] = Query(op1_toxicity)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts."""
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
