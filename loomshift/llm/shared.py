@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +40,21 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch: few, since one text can be very long."""
+    """Before Python code runs on executors: few rows in an Arrow batch, since one text can be very long, and the package sent along once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="loomshift-")) / "loomshift_code.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
 
 
 def text_of(name: str = "text") -> Column:

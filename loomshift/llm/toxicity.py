@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-An expression is five bytes of the lower-cased text, runs of anything but letters being one space: whole short words, and
-the stems and endings of others, in any language. Toxic and ordinary documents each have a model
+An expression is five or eight bytes of the lower-cased text, runs of anything but letters being one space: whole short
+words, and the stems and endings of others, in any language. Toxic and ordinary documents each have a model
     P(e | class) = max(c(class, e) - D, 0) / c(class) + D * types(class) / c(class) * shared(e)
-over the number of training documents that hold e; shared(e), from the counts of both classes, is the common backoff. With
+over the number of training documents that hold e; shared(e), from the counts of both classes, is the common backoff. The
+vocabulary is what LEAST training documents hold. With
 D = 1 an expression seen once in a class is left to the backoff alone. Where the two estimates differ by less than a factor
 RATIO, both models fall back to the shared counts, so that only distinctive expressions tell the classes apart.
 A document's score compares its toxic and ordinary log-likelihoods over the distinct expressions it holds, divided by the
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, text_of, written
 
-N = 5
+SIZES = (5, 8)
 RATIO = math.exp(2)
+LEAST = 4
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -71,14 +73,16 @@ def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     single = np.ones(len(data), bool)
     single[1:] = (data[1:] != 32) | (data[:-1] != 32) | (doc[1:] != doc[:-1])
     data, doc = data[single].astype(np.int64), doc[single]
-    size = len(data) - N + 1
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = np.zeros(size, np.int64)
-    for j in range(N):
-        grams = grams << 8 | data[j : j + size]
-    whole = doc[:size] == doc[N - 1 :]
-    return grams[whole], doc[:size][whole]
+    found, place = [], []
+    for n in SIZES:
+        size = max(0, len(data) - n + 1)
+        grams = np.zeros(size, np.int64)
+        for j in range(n):
+            grams = grams << 8 | data[j : j + size]
+        whole = doc[:size] == doc[len(doc) - size :]
+        found.append(grams[whole])
+        place.append(doc[:size][whole])
+    return np.concatenate(found), np.concatenate(place)
 
 
 def evidence_in(texts: list[str], model: Evidence, bitmap: np.ndarray) -> np.ndarray:
@@ -118,15 +122,16 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def _evidence(counts: DataFrame, ordinary: str, toxic: str) -> Evidence:
-    """The expressions whose two estimates differ by RATIO at least. Only those seen twice in toxic documents can."""
+    """The expressions whose two estimates differ by RATIO at least."""
     c0, c1 = F.expr(ordinary), F.expr(toxic)
+    counts = counts.where(c0 + c1 >= LEAST)
     row = counts.agg(*[F.sum(x).alias(a) for x, a in ((c0, "n0"), (c1, "n1"), ((c0 > 0).cast("long"), "t0"), ((c1 > 0).cast("long"), "t1"))]).first()
     if not row.n0 or not row.n1:
         return Evidence()
     shared = (c0 + c1) / F.lit(float(row.n0 + row.n1))
     p1 = F.greatest(c1 - 1, F.lit(0)) / row.n1 + shared * (row.t1 / row.n1)
     p0 = F.greatest(c0 - 1, F.lit(0)) / row.n0 + shared * (row.t0 / row.n0)
-    found = counts.where(c1 >= 2).select("gram", (F.log(p1 / p0) - math.log(RATIO)).alias("w")).where("w > 0").toPandas().sort_values("gram")
+    found = counts.select("gram", (F.log(p1 / p0) - math.log(RATIO)).alias("w")).where("w > 0").toPandas().sort_values("gram")
     return Evidence(found["gram"].to_numpy(np.int64), found["w"].to_numpy(float))
 
 
