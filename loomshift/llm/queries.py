@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import exact_dedup, packing, pii, toxicity
+from loomshift.llm import exact_dedup, language, packing, pii, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -35,6 +35,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_toxicity"] = Query(op1_toxicity)
 
 
+def language_model(docs: DataFrame) -> language.Model:
+    """Learnt from text and language of the documents outside fold 1 of 3."""
+    return language.fit(docs.where(F.coalesce(remainder(3) != 1, F.lit(True))))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.identify(docs, language_model(docs))
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES["op3_language"] = Query(op3_language)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts."""
     return exact_dedup.assign_groups(table(spark, sf_dir, "documents"))
