@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import exact_dedup, language, packing, pii, toxicity
+from loomshift.llm import exact_dedup, language, packing, pii, sentencepiece_bpe, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -78,3 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pii"] = Query(op10_pii)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES["op7_sentencepiece"] = Query(op7_sentencepiece)

@@ -29,10 +29,10 @@ def test_expressions_equal_a_plain_loop():
 
 
 def test_nulls_empty_tables_and_clashing_names(spark):
-    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(["you moronic thing", "a fine day here", None, ""] * 6)], "doc_id long, text string, score string")
-    labels = spark.createDataFrame([(i, None if i == 5 else int(i % 4 == 0)) for i in range(24)], "doc_id long, label int")
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(["you moronic thing", "a fine day here", None, ""] * 60)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, None if i == 5 else int(i % 4 == 0)) for i in range(240)], "doc_id long, label int")
     out = toxicity.score(docs, toxicity.fit(docs, labels)).toPandas().set_index("doc_id")["score"]
     assert np.isfinite(out).all() and out[2] == out[3] == out.min() and out[0] > out[1]
     none = toxicity.fit(docs, labels.limit(0))
-    assert toxicity.score(docs, none).where("score < 0.01").count() == 24
+    assert toxicity.score(docs, none).where("score < 0.01").count() == 240
     assert toxicity.score(docs.limit(0), none).count() == 0
