@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import exact_dedup, language, packing, pii, sentencepiece_bpe, toxicity
+from loomshift.llm import chat, exact_dedup, language, packing, pii, sentencepiece_bpe, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -86,3 +86,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_sentencepiece"] = Query(op7_sentencepiece)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes control strings, formatted as prefix trees and read back from them."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    quoted = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(quoted).alias("text")
+    )
+    path = vocabulary("byte_bpe_50k.json")
+    return chat.read_back(chat.trees(rows.unionByName(extra), path), path)
+
+
+QUERIES["op8_chat"] = Query(op8_chat)
