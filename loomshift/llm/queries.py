@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import chat, exact_dedup, language, packing, pii, sentencepiece_bpe, toxicity
+from loomshift.llm import chat, exact_dedup, language, near_dedup, packing, pii, sentencepiece_bpe, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -100,3 +100,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_chat"] = Query(op8_chat)
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies."""
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_near_dedup"] = Query(op4_near_dedup)
