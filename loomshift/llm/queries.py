@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import chat, exact_dedup, language, near_dedup, packing, pii, sentencepiece_bpe, toxicity
+from loomshift.llm import chat, exact_dedup, language, near_dedup, neighbours, packing, pii, sentencepiece_bpe, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -108,3 +108,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_near_dedup"] = Query(op4_near_dedup)
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)
+
+
+QUERIES["op2_neighbours"] = Query(op2_neighbours)
