@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshift.llm import chat, exact_dedup, language, near_dedup, neighbours, packing, pii, sentencepiece_bpe, toxicity
+from loomshift.llm import chat, exact_dedup, language, near_dedup, neighbours, packing, pii, quality, sentencepiece_bpe, toxicity
 from loomshift.plans.registry import Query
 from loomshift.sources.tables import table
 
@@ -116,3 +116,12 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_neighbours"] = Query(op2_neighbours)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perplexity of every document under a model of the documents labelled good."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+QUERIES["op9_quality"] = Query(op9_quality)
