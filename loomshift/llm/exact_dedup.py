@@ -65,7 +65,7 @@ def assign_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: of equal texts, the one with the largest doc_id."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_was_null"))
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("held"), F.col("text").isNull().alias("none"))
     rows = docs.select(
         text_of().alias("text"),
         F.unhex(F.sha2(text_of(), 256)).alias("digest"),
@@ -75,4 +75,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     )
     best = [F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank")]
     found = rows.groupBy("digest", "text", "salt").agg(*best).groupBy("digest", "text").agg(*best)
-    return found.select(*[F.when(~F.col("row.text_was_null"), F.col("text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[F.when(~F.col("row.none"), F.col("text")).alias(c) if c == "text" else F.col(f"row.held.`{c}`").alias(c) for c in docs.columns])
