@@ -7,9 +7,10 @@ over all documents in FREQUENCY_SLOTS hashed slots, so the table sent out has a
 1. A map over whole texts draws BANDS * ROWS consistent weighted samples of each text, and hashes ROWS of them to a band.
    Two texts draw the same sample with a probability of their weighted Jaccard similarity.
 2. Texts equal in a band form a bucket. Each bucket compares its members with a leader, not all pairs: members joined to
-   the leader need no comparison with one another. Where members of several components are left that have not led, more
-   leaders follow from all but the largest, twice as many a round, until any two members are in one component or have
-   been compared. So no link within a bucket is lost, and copies of one text group cost one comparison each.
+   the leader need no comparison with one another, so copies of one text cost one comparison each. What is then left
+   apart in a bucket (members of all components but the largest) meets the bucket's members in blocks of bounded size: a
+   block's similarities are one matrix product over its shingles, and only links that join components come out of it. So
+   no link within a bucket is lost, and no pair is a row unless it is one with a leader or a link that counts.
 3. A comparison takes the exact weighted Jaccard similarity of the whole texts; SIMILARITY or more is a link.
 4. Components of the links by smallest labels with pointer jumping, in tables of the shared folder.
 
@@ -29,7 +30,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, mix64, text_of, written
 from loomshift.llm.words import grams, words
@@ -38,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 FREQUENCY_SLOTS = 1 << 18
+#: The most texts of a block that meet, and the columns of one matrix product.
+LEFT, RIGHT, COLUMNS = 1024, 2048, 1024
 _LEVELS = 1 << 16
 
 
@@ -78,7 +80,7 @@ def shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(first)
     count = np.diff(np.append(at, len(keys)))
-    return keys[at], (count * (1 + means[at])).astype(np.float32), np.searchsorted(docs[at], np.arange(len(texts) + 1))
+    return keys[at], np.round(count * (1 + means[at]), 4).astype(np.float32), np.searchsorted(docs[at], np.arange(len(texts) + 1))
 
 
 def samples(keys: np.ndarray, weights: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
@@ -179,6 +181,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
+def overlaps(features: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarity of each text of `left` with each of `right` (places in `features`).
+
+    A shingle with several weights counts as levels: the sum of the smaller of two weights is that of the levels both reach.
+    """
+    doc = np.repeat(np.arange(len(features)), [len(f[0]) for f in features])
+    keys, weights = np.concatenate([f[0] for f in features]), np.concatenate([f[1] for f in features]).astype(np.float64)
+    order = np.lexsort((weights, keys))
+    doc, keys, weights = doc[order], keys[order], weights[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    new = first.copy()
+    new[1:] |= weights[1:] != weights[:-1]
+    level = np.cumsum(new) - 1  # one for each shingle and weight
+    at = np.flatnonzero(new)
+    height = np.where(first[at], weights[at], weights[at] - np.append(0.0, weights[at][:-1]))
+    base = np.maximum.accumulate(np.where(first, level, 0))
+    reach = level - base + 1  # a text reaches its own level and those below
+    column = np.repeat(base, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+    doc = np.repeat(doc, reach)
+    total = np.bincount(doc, height[column], minlength=len(features))
+    place_left, place_right = np.full(len(features), -1), np.full(len(features), -1)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    used = np.zeros(len(at), np.int64)
+    used[np.unique(column[place_left[doc] >= 0])] |= 1
+    used[np.unique(column[place_right[doc] >= 0])] |= 2
+    number = np.cumsum(used == 3) - 1
+    go = used[column] == 3
+    doc, column = doc[go], column[go]
+    order = np.argsort(number[column], kind="stable")
+    doc, column = doc[order], column[order]
+    where = number[column]
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, int(where[-1]) + 1 if len(where) else 0, COLUMNS):
+        s, e = np.searchsorted(where, (low, low + COLUMNS))
+        a, b = np.zeros((len(left), COLUMNS)), np.zeros((len(right), COLUMNS))
+        l, r = place_left[doc[s:e]] >= 0, place_right[doc[s:e]] >= 0
+        a[place_left[doc[s:e]][l], where[s:e][l] - low] = height[column[s:e]][l]
+        b[place_right[doc[s:e]][r], where[s:e][r] - low] = 1
+        out += a @ b.T
+    return out / (total[left][:, None] + total[right][None, :] - out)
+
+
+def _settled(state: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links between the components that a bucket still holds. state: bucket, key, label, apart (not of the largest component)."""
+    sizes = state.groupBy("bucket").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("n"))
+    rows = state.join(sizes, "bucket").withColumn("ub", F.ceil(F.col("u") / LEFT).cast("int")).withColumn("nb", F.ceil(F.col("n") / RIGHT).cast("int"))
+    dealt = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    lefts = rows.where("apart").select("bucket", dealt(1, "ub").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "key", "label", F.lit(True).alias("left"))
+    rights = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("i"), dealt(2, "nb").alias("j"), "key", "label", F.lit(False).alias("left"))
+    both = lefts.union(rights).join(texts, "key")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        listed = group["text"].tolist()
+        distinct = list(dict.fromkeys(listed))
+        place = {t: i for i, t in enumerate(distinct)}
+        features: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in by_bytes([len(t) for t in distinct], 1_000_000):
+            keys, weights, bounds = shingles(distinct[lo:hi], idf.value)
+            features += [(keys[s:e], weights[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        at = np.array([place[t] for t in listed])
+        name: list = [None] * len(distinct)
+        label: list = [None] * len(distinct)
+        for i, k, x in zip(at.tolist(), group["key"], group["label"], strict=True):
+            name[i], label[i] = bytes(k), bytes(x)
+        is_left = group["left"].to_numpy(bool)
+        left, right = np.unique(at[is_left]), np.unique(at[~is_left])
+        out, top = [], {x: x for x in label}
+
+        def root(x: bytes) -> bytes:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        if len(left) and len(right):
+            near = overlaps(features, left, right) >= SIMILARITY
+            for i, j in np.argwhere(near).tolist():
+                a, b = left[i], right[j]
+                x, y = root(label[a]), root(label[b])
+                if x != y:
+                    top[x] = y
+                    out.append((name[a], name[b]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return both.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of each node of `links` (a, b); label: the smallest key of its component."""
     edges = written(links.union(links.select("b", "a")).distinct(), "edges")
@@ -214,24 +304,17 @@ def classes(docs: DataFrame) -> DataFrame:
     drop_written(bands)
     pairs = members.where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = written(_verified(pairs, texts, idf), "links")
-    led = members.where("a = key").select("bucket", "key")
-    members = members.drop("a")
-    for leaders in (1 << r for r in range(64)):
-        labels = components(links)
-        state = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).join(led.withColumn("led", F.lit(True)), ["bucket", "key"], "left")
-        waiting = state.groupBy("bucket", "label").agg(F.count_if(F.col("led").isNull()).alias("n")).where("n > 0")
-        waiting = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("n", "label")).alias("major")).where("parts > 1").drop("parts")
-        state = written(state.join(waiting, "bucket"), "open")
-        if state.isEmpty():
-            drop_written(state)
-            return labels
-        order = Window.partitionBy("bucket", "label").orderBy("key")
-        new = state.where("led is null and label <> major").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        new = written(new.select("bucket", F.col("key").alias("a"), F.col("label").alias("own")), "leaders")
-        pairs = state.where("led is null").join(new, "bucket").where("label <> own").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        links = written(links.union(_verified(pairs, texts, idf)), "links")
-        led = written(led.union(new.select("bucket", F.col("a").alias("key"))), "led")
-        drop_written(labels)
+    labels = components(links)
+    state = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).where("a <> key").select("bucket", "key", "label")
+    parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("n", "label")).alias("major")).where("parts > 1").drop("parts")
+    state = written(state.join(parts, "bucket").select("bucket", "key", "label", (F.col("label") != F.col("major")).alias("apart")), "open")
+    drop_written(members)
+    more = written(_settled(state, texts, idf), "links")
+    if more.isEmpty():
+        return labels
+    drop_written(labels)
+    return components(links.union(more))
 
 
 def group(docs: DataFrame) -> DataFrame:

@@ -73,3 +73,16 @@ def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (4, "x " * 30_000)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.class_id, r.class_size) for r in near_dedup.group(docs).collect()) == [("3", 3, 3), ("4", 4, 1), ("None", 3, 3), ("None", 3, 3)]
     assert near_dedup.group(docs.limit(0)).count() == 0 and near_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_block_similarities_equal_single_ones():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(5, 60))) for _ in range(25)]
+    texts += [" ".join(t.split()[:-2] + ["x", "y"]) for t in texts]
+    idf = np.linspace(0, 1, near_dedup.FREQUENCY_SLOTS).astype(np.float32)
+    keys, weights, bounds = near_dedup.shingles(texts, idf)
+    features = [(keys[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    left, right = np.arange(0, 20), np.arange(10, 50)
+    got = near_dedup.overlaps(features, left, right)
+    want = [[near_dedup.weighted_jaccard(features[a], features[b]) for b in right] for a in left]
+    assert np.allclose(got, want, atol=1e-6)
