@@ -71,16 +71,16 @@ def counts(trusted: DataFrame) -> DataFrame:
     """(gram, n) over all of `trusted` (text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+        total = np.zeros(SYMBOLS**ORDER, np.uint32)  # of one task's input
         for batch in batches:
             texts = batch["text"].tolist()
             for lo, hi in by_bytes([len(t) for t in texts]):
                 known, n = np.unique(grams_of(texts[lo:hi])[0], return_counts=True)
-                total[known] += n
+                total[known] += n.astype(np.uint32)
         held = np.flatnonzero(total)
         for at in range(0, len(held), 500_000):
             part = held[at : at + 500_000]
-            yield pd.DataFrame({"gram": part, "n": total[part]})
+            yield pd.DataFrame({"gram": part, "n": total[part].astype(np.int64)})
 
     return trusted.select(text_of().alias("text")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -100,19 +100,20 @@ def probabilities(table: DataFrame) -> np.ndarray:
     orders = [table]
     for k in range(ORDER - 1, 0, -1):  # how many different symbols come before each shorter n-gram
         orders.append(orders[-1].groupBy(F.expr(f"gram & {SYMBOLS**k - 1}").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    shorter = np.full(1, 1 / SYMBOLS)
+    shorter = np.full(1, 1 / SYMBOLS, np.float32)
     for k, own in enumerate(reversed(orders), 1):
         d = _discounts(own)
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         shards = own.withColumn("cut", F.least(cut, F.col("n"))).withColumn("ctx", F.shiftright("gram", 6))
         sums = shards.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
         joined = shards.join(sums, "ctx").select("ctx", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("gamma")).toPandas()
-        gamma = np.ones(SYMBOLS ** (k - 1))
+        gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
         gamma[joined["ctx"]] = joined["gamma"]
-        back = shorter[np.arange(SYMBOLS**k) % max(1, len(shorter))] if k > 1 else np.full(SYMBOLS, shorter[0])
-        shorter = np.repeat(gamma, SYMBOLS) * back
-        shorter[joined["gram"]] += joined["p"]
-    return np.log(np.maximum(shorter, 1e-12))
+        shorter = np.tile(shorter, SYMBOLS)
+        shorter *= np.repeat(gamma, SYMBOLS)
+        shorter[joined["gram"]] += joined["p"].to_numpy(np.float32)
+    np.maximum(shorter, 1e-12, out=shorter)
+    return np.log(shorter, out=shorter)
 
 
 def scored(docs: DataFrame, logs: np.ndarray) -> DataFrame:
