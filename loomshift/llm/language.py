@@ -4,7 +4,8 @@ A text's features are its letter trigrams: bytes of the lower-cased text, runs o
 hashed to DIMS places. A vector holds (1 + log count) x inverse document frequency, divided by its length. Each language has
 up to CLUSTERS centroids, found by spherical k-means over its own training vectors, since one language comes in several
 kinds of text. A text gets the language of the centroid with the largest cosine; it is rejected where that cosine is under
-the centroid's own limit: SLACK times the low quantile FAR_OUT of its training members' cosines.
+the language's limit: SLACK times the lowest of its clusters' quantiles FAR_OUT of their training members' cosines. As a
+short text has few trigrams and so lies far from any centroid, the limit falls with the root of its trigrams under LONG.
 
 fit() uses at most about `per_language` texts of each language, picked by the hash of their id; document frequencies and
 clusters are made on executors, one language a group, so a group is bounded by that parameter, and the driver gets
@@ -32,6 +33,7 @@ DIMS = 8192
 CLUSTERS = 4
 FAR_OUT = 0.002
 SLACK = 0.5
+LONG = 400
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -63,10 +65,26 @@ def counts_of(texts: list[str]) -> np.ndarray:
 
 
 def vectors_of(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    found = np.log1p(counts_of(texts).astype(np.float32)) * idf
+    return _weighted(counts_of(texts), idf)
+
+
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    found = np.log1p(counts.astype(np.float32)) * idf
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centroid of each text, its cosine, and whether the text is accepted."""
+    best, near, fine = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for lo, hi in _blocks(texts) if model.names else ():
+        counts = counts_of(texts[lo:hi])
+        cosines = _weighted(counts, model.idf) @ model.centroids.T
+        best[lo:hi], near[lo:hi] = cosines.argmax(1), cosines.max(1)
+        fine[lo:hi] = near[lo:hi] >= model.limits[best[lo:hi]] * np.sqrt(np.minimum(1, counts.sum(1) / LONG))
+    letters = np.array([bool(_HAS_LETTER.search(t)) for t in texts], bool)
+    return best, near, fine & letters
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """At most 128 texts and about 1 MB at once."""
     for lo, hi in by_bytes([len(t) for t in texts], 1_000_000):
@@ -126,7 +144,7 @@ def fit(labelled: DataFrame, per_language: int = 1500) -> Model:
         return pd.DataFrame({"lang": group["lang"].iloc[0], "limit": limits, "centroid": [c.astype(np.float32) for c in found]})
 
     got = sample.groupBy("lang").applyInPandas(clusters, "lang string, limit double, centroid array<float>").toPandas()
-    got = got.assign(order=range(len(got))).sort_values(["lang", "order"])
+    got = got.assign(order=range(len(got)), limit=got.groupby("lang")["limit"].transform("min")).sort_values(["lang", "order"])
     return Model(got["lang"].tolist(), got["limit"].to_numpy(float), np.array(got["centroid"].tolist(), np.float32).reshape(-1, DIMS), idf)
 
 
@@ -139,17 +157,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         known = sent.value
         for batch in batches:
             texts = batch["text"].tolist()
-            best, near = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for lo, hi in _blocks(texts) if known.names else ():
-                cosines = vectors_of(texts[lo:hi], known.idf) @ known.centroids.T
-                best[lo:hi], near[lo:hi] = cosines.argmax(1), cosines.max(1)
+            best, near, fine = nearest(texts, known)
             named = np.array([bool(known.names) and bool(_HAS_LETTER.search(t)) for t in texts], bool)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
                     "lang_pred": [known.names[b] if ok else "und" for b, ok in zip(best, named, strict=True)],
                     "score": np.where(named, np.clip(near, 0, 1), 0.0),
-                    "rejected": ~named | (near < (known.limits[best] if known.names else 0)),
+                    "rejected": ~fine,
                 }
             )
 
@@ -164,11 +179,6 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
-        known, listed = sent.value, [t or "" for t in texts]
-        out = np.zeros(len(listed), bool)
-        for lo, hi in _blocks(listed) if known.names else ():
-            cosines = vectors_of(listed[lo:hi], known.idf) @ known.centroids.T
-            out[lo:hi] = cosines.max(1) >= known.limits[cosines.argmax(1)]
-        return pd.Series([bool(ok) and bool(_HAS_LETTER.search(t)) for ok, t in zip(out, listed, strict=True)])
+        return pd.Series(nearest([t or "" for t in texts], sent.value)[2])
 
     return docs.where(accepted(F.col("text")))

@@ -9,20 +9,20 @@ def test_held_out_accuracy_and_clean_documents_stay(spark):
     held = out[out.held_out]
     print(len(held), (held.lang_pred == held.lang).mean(), out.rejected.sum())
     assert len(out) == docs.count() and out.score.between(0, 1).all()
-    assert (held.lang_pred == held.lang).mean() > 0.97 and out.rejected.mean() < 0.01
+    assert (held.lang_pred == held.lang).mean() > 0.97 and out.rejected.mean() < 0.001
 
 
 def test_nulls_letterless_texts_and_empty_tables(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)]
-    rows += [(90, None, "en"), (91, "", None), (92, "12 34 !?", "de"), (93, "und die katze " * 20_000, None)]
+    rows += [(90, None, "en"), (91, "", None), (92, "12 34 !?", "de"), (93, "und die katze " * 20_000, None), (94, "猫と犬が好きです。" * 40, None)]
     docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, lang string, rejected boolean")
     model = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, model).collect()}
     assert [got[i].lang_pred for i in (0, 1, 90, 91, 92, 93)] == ["en", "de", "und", "und", "und", "de"]
-    assert got[90].rejected and got[92].rejected and not got[93].rejected
+    assert got[90].rejected and got[92].rejected and got[94].rejected and not got[93].rejected
     assert {r.doc_id for r in language.keep_identified(docs, model).collect()} == {*range(40), 93}
     none = language.fit(docs.limit(0))
-    assert language.identify(docs, none).where("lang_pred = 'und' and rejected").count() == 44
+    assert language.identify(docs, none).where("lang_pred = 'und' and rejected").count() == 45
     assert language.identify(docs.limit(0), model).count() == 0 and language.keep_identified(docs, none).count() == 0
 
 

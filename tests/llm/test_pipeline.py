@@ -23,8 +23,9 @@ def test_run_equals_brute_force(spark):
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
     kept = {}
     for i, t in rows.items():
+        counts = language.counts_of([t])
         cosines = language.vectors_of([t], model.idf) @ model.centroids.T
-        if re.search(r"[^\W\d_]", t) and cosines.max() >= model.limits[cosines.argmax()]:
+        if re.search(r"[^\W\d_]", t) and cosines.max() >= model.limits[cosines.argmax()] * min(1, counts.sum() / language.LONG) ** 0.5:
             kept[i] = t
     last = {t: i for i, t in sorted(kept.items())}
     kept = {i: t for t, i in last.items()}
