@@ -1,14 +1,11 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are bytes in 64 classes (letters by case, digits, spaces, kinds of punctuation, groups of other bytes), with runs of
-one white space class as they are. The model is of order 4: P(w | ctx) = max(c - D(c), 0) / c(ctx) + gamma(ctx) * P(w | shorter
-ctx), with discounts D1, D2, D3+ of each order from its counts of counts, and continuation counts below the highest order.
+Symbols are whole characters as they are, in any script, and the model is that of char_model: counts of all trusted text,
+dealt to shards and joined there, without a fixed alphabet or table size. classify() pre-aggregates the documents' grams by
+blocks of documents and joins them with the shards.
 
-Counts are made of all trusted text: each task merges what it has read, and the counts are dealt to shards by context, so
-that a context's sums and its n-grams meet in one place: three joins of count tables, one for each order, give every
-seen n-gram its probability from the shorter one's, and every context its weight gamma. There are at most 64 ** 4 n-grams
-whatever the corpus, so the finished table has a fixed size (2 bytes each) and is sent to the tasks that score; whole texts
-are then looked up without another shuffle.
+grams_of(), counts() and probabilities() are the same model over 64 classes of bytes, as one dense table; the tests compare
+it with a plain model, and no query uses it.
 
 A document's threshold is that of its language: the quantile QUANTILE of the trusted documents' mean log-likelihoods per
 symbol, widened by SHORT / sqrt(n) for a text of n symbols, whose mean varies more. Documents beyond it are rejected.
@@ -27,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomshift.llm import char_model
 from loomshift.llm.shared import arrow_rows, by_bytes, text_of, written
 
 ORDER = 4
@@ -116,27 +114,6 @@ def probabilities(table: DataFrame) -> np.ndarray:
     return np.log(shorter, out=shorter)
 
 
-def scored(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols and nll (mean negative log-likelihood, null for an empty text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float16))  # SYMBOLS ** ORDER numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        for batch in batches:
-            texts = batch["text"].tolist()
-            total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for lo, hi in by_bytes([len(t) for t in texts]):
-                grams, doc = grams_of(texts[lo:hi])
-                total[lo:hi] = np.bincount(doc, known[grams].astype(np.float64), minlength=hi - lo)
-                size[lo:hi] = np.bincount(doc, minlength=hi - lo)
-            nll = pd.Series(-total / np.maximum(size, 1)).where(size > 0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": batch["lang"].to_numpy(), "n_symbols": size, "nll": nll})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_of().alias("text"), "lang").mapInPandas(run, f"doc_id {kind}, lang string, n_symbols long, nll double")
-    return rows.withColumn("nll", F.when(F.col("n_symbols") > 0, F.col("nll")))
-
-
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold (of a long text of the language) and kept for each row of `docs` (doc_id, text, lang).
 
@@ -145,11 +122,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     arrow_rows(docs.sparkSession)
     ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
     near = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    table = written(counts(docs.select("doc_id", "text").join(near, "doc_id", "left_semi")), "counts")
+    table = written(char_model.counts(docs.select("doc_id", "text").join(near, "doc_id", "left_semi")), "counts")
     if table.isEmpty():
         plain = docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length(text_of()) > 0).alias("kept"))
         return plain
-    rows = written(scored(docs.select("doc_id", "text", "lang"), probabilities(table)), "scored")
+    rows = char_model.scored(docs, char_model.train(table))
     level = F.percentile_approx(F.col("nll") - SHORT / F.sqrt("n_symbols"), QUANTILE, 10_000)
     known = rows.where("nll is not null").join(near, "doc_id", "left_semi")
     overall = known.agg(level.alias("x")).first().x

@@ -65,3 +65,51 @@ def test_nulls_repeats_and_empty(spark):
     assert got.count() == 43 and got.where("kept").count() == 40 and got.where("perplexity is null").count() == 2
     assert quality.classify(docs, ids.limit(0)).where("kept").count() == 41
     assert quality.classify(docs.limit(0), ids).count() == 0
+
+
+def test_whole_characters_of_any_script_are_told_apart(spark):
+    text = "мама мыла раму и папа читал книгу вечером дома "
+    mixed = "амма лыма марув и аппа ичталк ингук вечремо адмо "
+    rows = [(i, text * 4, "ru") for i in range(20)] + [(50, mixed * 4, "ru"), (51, "12 34 " * 30, "ru"), (52, "98 76 " * 30, "ru")]
+    docs = spark.createDataFrame([*rows, (53, "12 34 " * 30, None)], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i in [*range(20), 51]], "doc_id long")
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, ids).collect()}
+    assert got[50] > 2 * got[0] and got[52] > 2 * got[51]
+
+
+def test_characters_equal_a_plain_model(spark):
+    trusted, other = ["the cat sat on the mat", "кот и кит, 猫と犬", "A cat! 12\n"], ["the cat", "кит 猫 zz", "", "\0a"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(trusted + other)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.char_model.scored(docs, quality.char_model.train(quality.char_model.counts(docs.where(f"doc_id < {len(trusted)}").select("text")))).collect()}
+    order = quality.char_model.ORDER
+    grams = [[("\n" * (order - 1) + t)[i : i + order] for i in range(len(t))] for t in trusted + other]
+    orders = [{}]
+    for g in sum(grams[: len(trusted)], []):
+        orders[0][g] = orders[0].get(g, 0) + 1
+    for _ in range(order - 1):
+        shorter = {}
+        for g in orders[-1]:
+            shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+        orders.append(shorter)
+
+    def discounts(table):
+        n = [sum(v == k for v in table.values()) for k in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            return [0.5, 0.75, 0.9]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.1), k - 0.05) for k in (1, 2, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(orders[-1]) + 1)
+        table = orders[order - len(g)]
+        d = discounts(table)
+        of = {x: min(d[min(v, 3) - 1], v) for x, v in table.items() if x[:-1] == g[:-1]}
+        whole = sum(table[x] for x in of)
+        if not whole:
+            return p(g[1:])
+        return (table.get(g, 0) - of.get(g, 0)) / whole + sum(of.values()) / whole * p(g[1:])
+
+    for i, gs in enumerate(grams):
+        assert got[i].n_symbols == len(gs)
+        assert (got[i].nll is None) == (not gs) and (not gs or math.isclose(got[i].nll, -sum(math.log(p(g)) for g in gs) / len(gs), rel_tol=1e-5))
