@@ -6,14 +6,14 @@ words, and the stems and endings of others, in any language. Toxic and ordinary
 over the number of training documents that hold e; shared(e), from the counts of both classes, is the common backoff. The
 vocabulary is what LEAST training documents hold. With
 D = 1 an expression seen once in a class is left to the backoff alone. Where the two estimates differ by less than a factor
-RATIO, both models fall back to the shared counts, so that only distinctive expressions tell the classes apart.
+RATIO, both models fall back to the shared counts, so that only distinctive expressions tell the classes apart; those of ordinary documents count against the toxic ones.
 A document's score compares its toxic and ordinary log-likelihoods over the distinct expressions it holds, divided by the
 root of its length, through a logistic curve; the curve is fitted on training documents scored by models of the other half.
 
 fit() uses at most `per_class` documents of each class, those with the smallest hash of their id; all counts of the sample
 are made by Spark, and the driver gets the distinctive expressions only. score() is a map over all documents.
 
-Nulls and ties: a null or empty text has no expressions, and the lowest score. A document labelled both ways counts as
+Nulls and ties: a null or empty text has no expressions, and the score 0. A document labelled both ways counts as
 toxic; null labels are left out. Rows that repeat a doc_id are scored each. Without labels of both kinds every score is 0.
 Extra columns are not read.
 """
@@ -41,7 +41,7 @@ _LETTER[128:] = np.arange(128, 256)
 
 @dataclass
 class Evidence:
-    """Distinctive expressions, sorted, with the log of their ratio beyond RATIO."""
+    """Distinctive expressions, sorted, with the log of their ratio beyond RATIO: above 0 for toxic ones, under 0 for ordinary ones."""
 
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -85,14 +85,14 @@ def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(place)
 
 
-def evidence_in(texts: list[str], model: Evidence, bitmap: np.ndarray) -> np.ndarray:
-    """The length-normalised difference of the log-likelihoods of each text."""
-    out = np.zeros(len(texts))
+def evidence_in(texts: list[str], model: Evidence, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length-normalised difference of the log-likelihoods of each text, and its number of expressions."""
+    out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if not len(model.grams):
-        return out
+        return out, size
     for lo, hi in by_bytes([len(t) for t in texts]):
         grams, doc = expressions(texts[lo:hi])
-        length = np.bincount(doc, minlength=hi - lo)
+        length = size[lo:hi] = np.bincount(doc, minlength=hi - lo)
         near = np.flatnonzero(bitmap[_slot(grams)])
         grams, doc = grams[near], doc[near]
         at = np.minimum(np.searchsorted(model.grams, grams), len(model.grams) - 1)
@@ -100,7 +100,7 @@ def evidence_in(texts: list[str], model: Evidence, bitmap: np.ndarray) -> np.nda
         both = np.unique(doc[hit] * np.int64(len(model.grams)) + at[hit])
         total = np.bincount(both // len(model.grams), model.weight[both % len(model.grams)], minlength=hi - lo)
         out[lo:hi] = total / np.sqrt(np.maximum(length, 1))
-    return out
+    return out, size
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def _evidence(counts: DataFrame, ordinary: str, toxic: str) -> Evidence:
-    """The expressions whose two estimates differ by RATIO at least."""
+    """The expressions whose two estimates differ by more than RATIO, either way."""
     c0, c1 = F.expr(ordinary), F.expr(toxic)
     counts = counts.where(c0 + c1 >= LEAST)
     row = counts.agg(*[F.sum(x).alias(a) for x, a in ((c0, "n0"), (c1, "n1"), ((c0 > 0).cast("long"), "t0"), ((c1 > 0).cast("long"), "t1"))]).first()
@@ -131,7 +131,8 @@ def _evidence(counts: DataFrame, ordinary: str, toxic: str) -> Evidence:
     shared = (c0 + c1) / F.lit(float(row.n0 + row.n1))
     p1 = F.greatest(c1 - 1, F.lit(0)) / row.n1 + shared * (row.t1 / row.n1)
     p0 = F.greatest(c0 - 1, F.lit(0)) / row.n0 + shared * (row.t0 / row.n0)
-    found = counts.select("gram", (F.log(p1 / p0) - math.log(RATIO)).alias("w")).where("w > 0").toPandas().sort_values("gram")
+    log = F.log(p1 / p0)
+    found = counts.select("gram", (F.signum(log) * (F.abs(log) - math.log(RATIO))).alias("w"), F.abs(log).alias("far")).where(F.col("far") > math.log(RATIO)).select("gram", "w").toPandas().sort_values("gram")
     return Evidence(found["gram"].to_numpy(np.int64), found["w"].to_numpy(float))
 
 
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
             for fold, other in ((0, 1), (1, 0)):
                 part = batch[batch["fold"] == fold]
                 if len(part):
-                    yield pd.DataFrame({"x": evidence_in(part["text"].tolist(), halves[other], maps[other]), "y": part["label"].astype(float)})
+                    yield pd.DataFrame({"x": evidence_in(part["text"].tolist(), halves[other], maps[other])[0], "y": part["label"].astype(float)})
 
     got = sample.mapInPandas(crossed, "x double, y double").toPandas()
     drop_written(sample)
@@ -190,8 +191,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = model.evidence.bitmap()
         for batch in batches:
-            x = evidence_in(batch["text"].tolist(), model.evidence, bitmap)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30)))})
+            x, size = evidence_in(batch["text"].tolist(), model.evidence, bitmap)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.where(size > 0, 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30))), 0.0)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {kind}, score double")

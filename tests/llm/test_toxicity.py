@@ -36,3 +36,29 @@ def test_nulls_empty_tables_and_clashing_names(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs, none).where("score < 0.01").count() == 240
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_ordinary_evidence_counts_against_toxic_evidence(spark):
+    mild, foul = "gentle meadow sunshine", "moronic rubbish"
+    texts = [(mild if i % 2 else foul) + f" thing {i % 7}" for i in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, foul), (101, f"{foul} {mild} lovely"), (102, mild), (103, "unknown words only " * 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, label int")
+    model = toxicity.fit(docs, labels)
+    assert (model.evidence.weight > 0).any() and (model.evidence.weight < 0).any()
+    out = toxicity.score(docs, model).toPandas().set_index("doc_id")["score"]
+    assert out[100] > out[103] > out[102] and out[101] < out[100]
+
+
+def test_balanced_sample_and_long_clean_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").selectExpr("doc_id", "toxic as label")
+    train = labels.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) != 2")
+    model = toxicity.fit(docs, train, per_class=300)
+    assert (model.evidence.weight < 0).any() and (model.evidence.weight > 0).any()
+    held = docs.join(labels.join(train, "doc_id", "left_anti"), "doc_id")
+    out = toxicity.score(held, model).join(held, "doc_id").selectExpr("score", "label", "length(text) n").toPandas()
+    clean = out[out.label == 0]
+    ranks, toxic = out.score.rank(), out.label == 1
+    auc = (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    print("AUC", auc, "clean long", clean[clean.n > 3000].score.mean(), "short", clean[clean.n <= 1000].score.mean(), "slope", model.slope)
+    assert auc > 0.75 and clean[clean.n > 3000].score.mean() < clean[clean.n <= 1000].score.mean()
