@@ -15,7 +15,6 @@ doc_id stays null. Extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomshift.llm.shared import arrow_rows, by_bytes, text_of
+from loomshift.llm.shared import arrow_rows, by_bytes, leaving_little, text_of
 
 SCHEMA = T.StructType(
     [
@@ -43,10 +42,15 @@ SCHEMA = T.StructType(
 _ENCODERS: dict = {}
 
 
-def pieces_of(n: int, longest: int) -> list[int]:
-    """The lengths that n tokens are cut into."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces_of(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each piece's document, and the piece's length: n // longest full ones, then one for each bit of the rest, longest first."""
+    bits = longest.bit_length() - 1
+    rest = n[:, None] % longest >> np.arange(bits - 1, -1, -1) & 1
+    doc, bit = np.nonzero(rest)
+    full = np.repeat(np.arange(len(n)), n // longest)
+    docs = np.concatenate([full, doc])
+    order = np.argsort(docs, kind="stable")  # full pieces come before those of the rest
+    return docs[order], np.concatenate([np.full(len(full), longest), longest >> bit + 1])[order]
 
 
 def _encoder(path: str):
@@ -65,26 +69,36 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        base, made, filled = TaskContext.get().partitionId() << 33, 0, Counter()
+        encoder = _encoder(vocabulary)
+        base, made, filled = TaskContext.get().partitionId() << 33, 0, np.zeros(length.bit_length(), np.int64)
         for batch in batches:
-            texts = batch["text"].tolist()
-            ids_of = batch["doc_id"].tolist() if not batch["doc_id"].isna().any() else [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
+            texts, doc_ids = batch["text"].tolist(), batch["doc_id"].astype("Int64").to_numpy(object) if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy(np.int64)
             for lo, hi in by_bytes([len(t) for t in texts]):
-                rows = []
-                for doc, ids in zip(ids_of[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    for size in pieces_of(n, length):
-                        own = ids[4 * start : 4 * (start + size)]
-                        batch_no = filled[size] * size // batch_tokens
-                        filled[size] += 1
-                        rows.append((doc, start, size, zlib.crc32(own), n, base + made, 0, size, base + batch_no * length.bit_length() * 2 + size.bit_length(), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
-                        made += 1
-                        start += size
-                out = pd.DataFrame(rows, columns=[f.name for f in schema])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                ids, bounds = encoder.encode(texts[lo:hi])
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                n = np.diff(bounds) + 1
+                doc, size = pieces_of(n, length)
+                stop = np.cumsum(size)
+                raw, cuts = memoryview(ids).cast("B"), (4 * stop).tolist()
+                kind = np.log2(size).astype(np.int64)
+                at = np.empty(len(size), np.int64)  # the place among the sequences of its length
+                for k in range(len(filled)):
+                    own = kind == k
+                    at[own] = filled[k] + np.arange(own.sum())
+                    filled[k] += own.sum()
+                out = {
+                    "doc_id": pd.array(doc_ids[lo:hi][doc], "Int64"),
+                    "start": stop - size - (np.cumsum(n) - n)[doc],
+                    "length": size,
+                    "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)],
+                    "doc_tokens": n[doc],
+                    "sequence_id": base + made + np.arange(len(size)),
+                    "offset": np.zeros(len(size), np.int64),
+                    "bucket": size.astype(np.int32),
+                    "batch_id": base + at * size // batch_tokens * length.bit_length() * 2 + kind + 1,
+                }
+                made += len(size)
+                yield pd.DataFrame(out | ({"ids": np.split(ids.astype(np.int32), stop[:-1])} if with_ids else {}))
 
     schema = T.StructType([*SCHEMA.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(leaving_little(run), schema)

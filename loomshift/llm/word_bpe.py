@@ -1,9 +1,9 @@
 """Ids of a lower-casing byte-pair tokenizer whose words carry an end mark, for many texts at once.
 
-A text is cut at white space, which no token crosses. Pieces met before come from a bounded cache; the words of new ones are
-merged together in numpy: at each step every word merges the pair that the tokenizer ranks first. Texts with characters
-whose normalisation differs between Unicode libraries, or with the names of special tokens, go to `tokenizers` whole, so
-that all ids are those of that library.
+A block of texts is one array of bytes. Its words (runs of letters, single digits, runs of marks, contractions) are found and
+hashed there; the ids of words met before come from a bounded cache, and new ones are merged together: at each step every
+word merges the pair that the tokenizer ranks first. Texts with characters whose normalisation differs between Unicode
+libraries, or with the names of special tokens, go to `tokenizers` whole, so that all ids are those of that library.
 """
 
 from __future__ import annotations
@@ -13,13 +13,28 @@ import re
 
 import numpy as np
 
-#: Pieces kept; beyond them the cache starts anew, which changes speed only.
+from loomshift.llm.id_cache import IdCache
+from loomshift.llm.shared import by_bytes
+from loomshift.llm.words import hashed
+
+#: Words kept; beyond them the cache starts anew, which changes speed only.
 MOST_CACHED = 1_000_000
 #: Bytes of a word up to which it is merged in numpy.
 MOST_BYTES = 48
 #: Latin letters, common punctuation and ASCII: no combining marks, no numerals but ASCII digits, one lower case each.
-_ODD = re.compile("[^\t-\r\x20-\x7e\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧€]")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_ODD = re.compile("[^\t-\r\x20-\x7e\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ȹȻ-Ƚȿ-ɏ‐-‧€]")
+#: Bytes of a block of texts.
+BLOCK = 1_500_000
+SPACE, LETTER, DIGIT, MARK = range(4)
+#: Widths to which words are filled up, so that few groups are merged.
+_WIDTHS = (4, 8, 12, 16, 24, 32, MOST_BYTES)
+
+
+def _kind(c: str) -> int:
+    return SPACE if c.isspace() else LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK
+
+
+_KIND = np.array([_kind(chr(c)) for c in range(0x300)], np.uint8)
 
 
 def _byte_letters() -> list[str]:
@@ -30,7 +45,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordBPE:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) gives the ids of all texts in one array, and where each text's begin."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -41,14 +56,14 @@ class WordBPE:
         self.special = tuple(x["content"] for x in model["added_tokens"])
         vocab, end = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         letters = _byte_letters()
-        self.first = np.array([vocab[x] for x in letters], np.int64)
-        self.last = np.array([vocab[x + end] for x in letters], np.int64)
+        self.first = np.array([vocab[x] for x in letters], np.int32)
+        self.last = np.array([vocab[x + end] for x in letters], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         keys = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.tables = self._tables(keys, np.arange(len(keys)))
-        self.made = np.append(made, 0)
-        self.cache: dict[str, bytes] = {}
+        self.made = np.append(made, np.int32(0))
+        self.cache = IdCache(MOST_CACHED)
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -61,7 +76,7 @@ class WordBPE:
             bits = max(8, int(len(keys)).bit_length() + 4)
             slot = self._slot(keys, len(out), bits)
             _, first = np.unique(slot, return_index=True)
-            held, rank = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+            held, rank = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
             held[slot[first]], rank[slot[first]] = keys[first], ranks[first]
             out.append((bits, held, rank))
             left = np.ones(len(keys), bool)
@@ -70,24 +85,24 @@ class WordBPE:
         return out
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, none = left << 17 | right, len(self.made) - 1
-        out = np.full(len(keys), none, np.int64)
+        keys, none = left.astype(np.int64) << 17 | right, len(self.made) - 1
+        out = np.full(len(keys), none, np.int32)
         for level, (bits, held, rank) in enumerate(self.tables):
             slot = self._slot(keys, level, bits)
             hit = held[slot] == keys
             out[hit] = rank[slot[hit]]
         return out
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """The ids of words of one length in bytes."""
-        n, size = len(words), len(words[0])
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(n, size)
-        ids = self.first[raw]
-        ids[:, -1] = self.last[raw[:, -1]]
-        lengths, none = np.full(n, size), len(self.made) - 1
-        rank = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, size - 1) if size > 1 else np.zeros((n, 0), np.int64)
-        live = np.arange(n) if size > 1 else np.arange(0)
+    def _merge(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (rows of bytes, each of its own size), one row each, and how many each has."""
+        n, size = raw.shape
+        ids, row = self.first[raw], np.arange(n)
+        ids[row, sizes - 1] = self.last[raw[row, sizes - 1]]
+        lengths, none = sizes.copy(), len(self.made) - 1
         column = np.arange(size)
+        rank = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, size - 1)
+        rank[column[None, 1:] >= sizes[:, None]] = none
+        live = np.flatnonzero(sizes > 1)
         while len(live):
             at = rank[live].argmin(1)
             best = rank[live, at]
@@ -101,54 +116,92 @@ class WordBPE:
             ids[live] = np.take_along_axis(rows, moved, 1)
             lengths[live] -= 1
             ranks = np.take_along_axis(rank[live], np.minimum(moved[:, : size - 1], size - 2), 1)
-            ranks[np.arange(size - 1)[None, :] >= (lengths[live] - 1)[:, None]] = none
+            ranks[column[None, : size - 1] >= (lengths[live] - 1)[:, None]] = none
             for side in (at - 1, at):
                 ok = (side >= 0) & (side < lengths[live] - 1)
                 ranks[ok, side[ok]] = self._ranks(ids[live[ok], side[ok]], ids[live[ok], side[ok] + 1])
             rank[live] = ranks
-        flat = ids.astype("<u4").tobytes()
-        return [flat[4 * size * i : 4 * (size * i + int(k))] for i, k in enumerate(lengths)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of `pieces` into the cache."""
-        cache = self.cache
-        words = {p for p in pieces if p.isalpha()}
-        split = {p: _WORDS.findall(p) for p in pieces - words}
-        for parts in split.values():
-            words.update(parts)
-        words.difference_update(cache)
-        by_size: dict[int, list[bytes]] = {}
-        for w in words:
-            raw = w.encode()
-            if len(raw) > MOST_BYTES:
-                cache[w] = np.array(self.slow.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            elif len(raw) in by_size:
-                by_size[len(raw)].append(raw)
-            else:
-                by_size[len(raw)] = [raw]
-        for group in by_size.values():
-            for at in range(0, len(group), 20_000):
-                cache.update(zip([w.decode() for w in group[at : at + 20_000]], self._merge(group[at : at + 20_000]), strict=True))
-        for p, parts in split.items():
-            cache[p] = b"".join([cache[w] for w in parts])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        todo: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            out.append(b"")
-            if _ODD.search(text) or any(s in text for s in self.special):
-                out[i] = np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                todo.append((i, text.lower().split()))
-        new = {p for _, pieces in todo for p in pieces}
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > MOST_CACHED:
-            self.cache.clear()
-            new = {p for _, pieces in todo for p in pieces}
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        for i, pieces in todo:
-            out[i] = b"".join(map(get, pieces))
-        return out
+        return ids, lengths
+
+    @staticmethod
+    def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the words of a block that ends with white space."""
+        kind = _KIND[data]  # of bytes that are characters by themselves
+        lead = np.flatnonzero(data >= 0xC2)
+        if len(lead):
+            short = lead[data[lead] < 0xE0]
+            kind[short] = kind[short + 1] = _KIND[(data[short].astype(np.int64) & 31) << 6 | data[short + 1] & 63]
+            long = lead[data[lead] >= 0xE0]  # of three bytes there are marks only
+            kind[long] = kind[long + 1] = kind[long + 2] = MARK
+        before = np.concatenate([[SPACE], kind[:-1]])
+        start = (kind != SPACE) & ((kind != before) | (kind == DIGIT))
+        quote = np.flatnonzero((data[:-3] == 39) & (before[:-3] != MARK))
+        one, two = data[quote + 1], data[quote + 2]
+        is_short = np.isin(one, list(b"stmd"))
+        is_long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        quote, size = quote[is_short | is_long], np.where(is_short, 2, 3)[is_short | is_long]
+        start[quote + 1] = False
+        start[quote + size] = kind[quote + size] != SPACE
+        stop = (before != SPACE) & (start | (kind == SPACE))
+        return np.flatnonzero(start), np.flatnonzero(stop)
+
+    def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"\n".join([*texts, b"\n\n\n"]), np.uint8)
+        begin, end = self._cut(data)
+        sizes, keys = end - begin, hashed(data, begin, end)
+
+        def learn(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order, lengths, flat = [], [], []
+            low = 0
+            for width in _WIDTHS:
+                own = places[(sizes[places] > low) & (sizes[places] <= width)]
+                low = width
+                for at in range(0, len(own), 20_000):
+                    part = own[at : at + 20_000]
+                    raw = data[np.minimum(begin[part][:, None] + np.arange(width), len(data) - 1)]
+                    ids, n = self._merge(raw, sizes[part])
+                    order.append(part)
+                    lengths.append(n)
+                    flat.append(ids[np.arange(width) < n[:, None]].astype(np.uint32))
+            return np.concatenate(order), np.concatenate(lengths), np.concatenate(flat)
+
+        short = np.flatnonzero(sizes <= MOST_BYTES)
+
+        def learn_short(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order, lengths, flat = learn(short[places])
+            return np.searchsorted(short, order), lengths, flat
+
+        ids, n = self.cache.ids(keys[short], learn_short)
+        counts = np.zeros(len(begin), np.int64)
+        counts[short] = n
+        if len(short) < len(begin):
+            long = np.flatnonzero(sizes > MOST_BYTES)
+            own = [np.array(self.slow.encode(data[begin[i] : end[i]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for i in long.tolist()]
+            counts[long] = [len(x) for x in own]
+            is_long = np.repeat(sizes > MOST_BYTES, counts)
+            both = np.empty(len(is_long), np.uint32)
+            both[~is_long], both[is_long] = ids, np.concatenate(own)
+            ids = both
+        total = np.concatenate([[0], np.cumsum(counts)])
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        return ids, total[np.searchsorted(begin, starts)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+        raw = [b"" if o else t.lower().encode() for t, o in zip(texts, odd, strict=True)]
+        parts, counts = [], []
+        for lo, hi in by_bytes([len(r) for r in raw], BLOCK):
+            ids, bounds = self._block(raw[lo:hi])
+            n = np.diff(bounds)
+            if any(odd[lo:hi]):
+                each = np.split(ids, bounds[1:-1])
+                for i in range(lo, hi):
+                    if odd[i]:
+                        each[i - lo] = np.array(self.slow.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                        n[i - lo] = len(each[i - lo])
+                ids = np.concatenate(each)
+            parts.append(ids)
+            counts.append(n)
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])

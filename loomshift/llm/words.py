@@ -19,7 +19,9 @@ _VALUE = mix64(np.arange(1, 257))
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2**64."""
+    base = _INVERSE if inverse else _BASE
     held = _POWERS.get(base)
     if held is None or len(held) < n:
         held = np.full(max(n, 1 << 21), base, np.uint64)
@@ -28,6 +30,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * powers(len(data)), out=total[1:])
+    return mix64((total[end] - total[begin]) * powers(len(data), inverse=True)[begin])
+
+
 def words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and the places where each text's words begin (one more than texts)."""
     raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
@@ -38,10 +47,7 @@ def words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     edge = np.diff(np.concatenate([[0], _WORD_BYTE[data].view(np.int8), [0]]).astype(np.int8))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _powers(_BASE, len(data)), out=total[1:])
-    hashes = mix64((total[end] - total[begin]) * _powers(_INVERSE, len(data))[begin])
-    return hashes, np.searchsorted(begin, starts_at)
+    return hashed(data, begin, end), np.searchsorted(begin, starts_at)
 
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)

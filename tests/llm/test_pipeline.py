@@ -3,10 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from loomshift.llm import language, near_dedup, pii
 from loomshift.llm.queries import language_model
-from loomshift.llm.word_bpe import WordBPE
 
 if importlib.util.find_spec("corpus_pipeline") is None:
     pytest.skip("corpus_pipeline.py is not here", allow_module_level=True)
@@ -40,8 +40,8 @@ def test_run_equals_brute_force(spark):
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
     kept = {ids[k]: pii.redacted(kept[ids[k]]) for k in sorted(set(label))}
-    encoder = WordBPE(vocabulary("word_bpe_49k.json"))
-    want = {i: [*np.frombuffer(encoder.encode([t])[0], "<u4").tolist(), 1] for i, t in kept.items()}
+    encoder = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = {i: [*encoder.encode(t, add_special_tokens=False).ids, 1] for i, t in kept.items()}
     out = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(out.doc_id) == set(want)
     assert out.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in want.items()}
