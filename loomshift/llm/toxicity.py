@@ -1,21 +1,26 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-An expression is five or eight bytes of the lower-cased text, runs of anything but letters being one space: whole short
-words, and the stems and endings of others, in any language. Toxic and ordinary documents each have a model
-    P(e | class) = max(c(class, e) - D, 0) / c(class) + D * types(class) / c(class) * shared(e)
-over the number of training documents that hold e; shared(e), from the counts of both classes, is the common backoff. The
-vocabulary is what LEAST training documents hold. With
-D = 1 an expression seen once in a class is left to the backoff alone. Where the two estimates differ by less than a factor
-RATIO, both models fall back to the shared counts, so that only distinctive expressions tell the classes apart; those of ordinary documents count against the toxic ones.
-A document's score compares its toxic and ordinary log-likelihoods over the distinct expressions it holds, divided by the
-root of its length, through a logistic curve; the curve is fitted on training documents scored by models of the other half.
-
-fit() uses at most `per_class` documents of each class, those with the smallest hash of their id; all counts of the sample
-are made by Spark, and the driver gets the distinctive expressions only. score() is a map over all documents.
-
-Nulls and ties: a null or empty text has no expressions, and the score 0. A document labelled both ways counts as
-toxic; null labels are left out. Rows that repeat a doc_id are scored each. Without labels of both kinds every score is 0.
-Extra columns are not read.
+"""Toxicity by two class-conditional Kneser-Ney models.
+
+A symbol is the beginning of a word: its first STEM bytes in lower case, a word being a run of letters; so inflected forms of
+an expression count together, in any language. Toxic and ordinary training documents each have a model, over words v w:
+    P(w | class)    = (1 - g) * f(w) + g * s(w)
+    P(w | v, class) = max(n(v w) - D, 0) / n(v) + left(v) * s(w | v) * P(w | class) / s(w)
+Counts are Kneser-Ney's: n(w) is the number of different words before w in the documents of the class, n(v w) that before
+the pair; so copies of a passage count once. f(w) is what the discount D leaves of n(w), as a share; left(v) is what
+discounting sets free in the context v. s() are the backoff counts that both classes share; the share g that goes to them
+is the same in both models (the larger one of what D sets free), so a word that neither class knows well tells nothing.
+A pair that neither class has seen falls back to its word.
+
+Each word of a text is scored under both models. Where they differ by less than a factor e (RATIO), both are left to the
+shared counts; else what lies beyond it counts, for or against. Both log-likelihoods are divided by the number of words, and
+their difference goes through a logistic curve, which is fitted on training documents scored by models of the other half.
+
+fit() uses at most `per_class` documents of each class, those with the smallest hash of their id, one row each; all counts
+of the sample are made by Spark, and the driver gets the words and pairs beyond RATIO only. score() is a map over whole
+texts, in blocks of about BLOCK bytes or one longer text.
+
+Nulls and ties: a null or empty text, or one without a letter, has no words, and the score 0. A document labelled both ways
+counts as toxic; null labels and ids are left out. Rows that repeat a doc_id are scored each, and count once in training
+(the largest text). Without labels of both kinds every score is 0. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,30 +31,72 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, text_of, written
+from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, leaving_little, mix64, text_of, written
 
-SIZES = (5, 8)
-RATIO = math.exp(2)
-LEAST = 4
+STEM = 6
+D = 4
+RATIO = math.e
+BLOCK = 1_500_000
+#: A pair is kept where its evidence differs from its word's by this much.
+DIFFERS = 0.1
+#: Models of both folds, and of all.
+MODELS = ("a", "b", "all")
 _LETTER = np.full(256, 32, np.uint8)
+_LETTER[65:91] = np.arange(97, 123)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-@dataclass
-class Evidence:
-    """Distinctive expressions, sorted, with the log of their ratio beyond RATIO: above 0 for toxic ones, under 0 for ordinary ones."""
+def stems(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The stem of each word as a number, in order, and the place of each one's text."""
+    raw = [b" " + t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = _LETTER[np.frombuffer(b"".join(raw) + b" " * STEM, np.uint8)]
+    begin = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
+    out, live = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+    for j in range(STEM):
+        c = data[begin + j]
+        live &= c != 32
+        out = np.where(live, out << 8 | c, out)
+    return out, np.searchsorted(np.cumsum([len(r) for r in raw]), begin, side="right")
+
+
+def _before(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each; 0 at a text's start."""
+    out = np.zeros(len(words), np.int64)
+    out[1:] = np.where(doc[1:] == doc[:-1], words[:-1], 0)
+    return out
+
+
+def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before.view(np.uint64)) + words.view(np.uint64))
 
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def bitmap(self) -> np.ndarray:
-        seen = np.zeros(1 << 20, bool)
-        seen[_slot(self.grams)] = True
-        return seen
+@dataclass
+class Evidence:
+    """Sorted words and pairs (as hashes), with what their log-likelihoods differ by beyond RATIO: above 0 for toxic ones."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    word_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def difference(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The toxic log-likelihood of each text less the ordinary one, both by the number of words; and that number."""
+        out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for lo, hi in by_bytes([len(t) for t in texts], BLOCK):
+            words, doc = stems(texts[lo:hi])
+            weight = np.zeros(len(words))
+            for keys, known, held in ((words, self.words, self.word_weight), (_pairs(_before(words, doc), words), self.pairs, self.pair_weight)):
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    hit = known[at] == keys
+                    weight[hit] = held[at[hit]]
+            size[lo:hi] = np.bincount(doc, minlength=hi - lo)
+            out[lo:hi] = np.bincount(doc, weight, minlength=hi - lo) / np.maximum(size[lo:hi], 1)
+        return out, size
 
 
 @dataclass
@@ -61,79 +108,77 @@ class Model:
     shift: float
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
-
-def expressions(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All expressions of the texts in order, and the place of each one's text."""
-    raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
-    data = _LETTER[np.frombuffer(b"".join(raw), np.uint8)]
-    doc = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-    single = np.ones(len(data), bool)
-    single[1:] = (data[1:] != 32) | (data[:-1] != 32) | (doc[1:] != doc[:-1])
-    data, doc = data[single].astype(np.int64), doc[single]
-    found, place = [], []
-    for n in SIZES:
-        size = max(0, len(data) - n + 1)
-        grams = np.zeros(size, np.int64)
-        for j in range(n):
-            grams = grams << 8 | data[j : j + size]
-        whole = doc[:size] == doc[len(doc) - size :]
-        found.append(grams[whole])
-        place.append(doc[:size][whole])
-    return np.concatenate(found), np.concatenate(place)
-
-
-def evidence_in(texts: list[str], model: Evidence, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The length-normalised difference of the log-likelihoods of each text, and its number of expressions."""
-    out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    if not len(model.grams):
-        return out, size
-    for lo, hi in by_bytes([len(t) for t in texts]):
-        grams, doc = expressions(texts[lo:hi])
-        length = size[lo:hi] = np.bincount(doc, minlength=hi - lo)
-        near = np.flatnonzero(bitmap[_slot(grams)])
-        grams, doc = grams[near], doc[near]
-        at = np.minimum(np.searchsorted(model.grams, grams), len(model.grams) - 1)
-        hit = model.grams[at] == grams
-        both = np.unique(doc[hit] * np.int64(len(model.grams)) + at[hit])
-        total = np.bincount(both // len(model.grams), model.weight[both % len(model.grams)], minlength=hi - lo)
-        out[lo:hi] = total / np.sqrt(np.maximum(length, 1))
-    return out, size
+def _felt(difference: np.ndarray) -> np.ndarray:
+    """The difference on the curve's scale: one strong word among a hundred is about 2, a hundred of them about 6."""
+    return np.arcsinh(200 * difference)
+
+
+def _beyond(log: Column) -> Column:
+    return F.signum(log) * F.greatest(F.abs(log) - math.log(RATIO), F.lit(0.0))
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(gram, c00, c01, c10, c11): the number of documents with the expression, by label and fold."""
+    """(v, w, in, n0_*, n1_*): each pair, the cells (label and fold) that hold it as bits, and the different words before it by model and label."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, cell = batch["text"].tolist(), (batch["label"] * 2 + batch["fold"]).to_numpy()
-            for lo, hi in by_bytes([len(t) for t in texts], 2_000_000):
-                grams, doc = expressions(texts[lo:hi])
-                known, at = np.unique(grams, return_inverse=True)
-                both = np.unique(doc * np.int64(max(1, len(known))) + at)
-                cells = np.bincount(both % max(1, len(known)) * 4 + cell[lo:hi][both // max(1, len(known))], minlength=4 * len(known)).reshape(-1, 4)
-                yield pd.DataFrame({"gram": known, **{f"c{c >> 1}{c & 1}": cells[:, c] for c in range(4)}})
-
-    cells = ["c00", "c01", "c10", "c11"]
-    parts = sample.mapInPandas(run, "gram long, c00 long, c01 long, c10 long, c11 long")
-    return parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in cells])
-
-
-def _evidence(counts: DataFrame, ordinary: str, toxic: str) -> Evidence:
-    """The expressions whose two estimates differ by more than RATIO, either way."""
-    c0, c1 = F.expr(ordinary), F.expr(toxic)
-    counts = counts.where(c0 + c1 >= LEAST)
-    row = counts.agg(*[F.sum(x).alias(a) for x, a in ((c0, "n0"), (c1, "n1"), ((c0 > 0).cast("long"), "t0"), ((c1 > 0).cast("long"), "t1"))]).first()
-    if not row.n0 or not row.n1:
-        return Evidence()
-    shared = (c0 + c1) / F.lit(float(row.n0 + row.n1))
-    p1 = F.greatest(c1 - 1, F.lit(0)) / row.n1 + shared * (row.t1 / row.n1)
-    p0 = F.greatest(c0 - 1, F.lit(0)) / row.n0 + shared * (row.t0 / row.n0)
-    log = F.log(p1 / p0)
-    found = counts.select("gram", (F.signum(log) * (F.abs(log) - math.log(RATIO))).alias("w"), F.abs(log).alias("far")).where(F.col("far") > math.log(RATIO)).select("gram", "w").toPandas().sort_values("gram")
-    return Evidence(found["gram"].to_numpy(np.int64), found["w"].to_numpy(float))
+            texts, cell = batch["text"].tolist(), np.left_shift(1, (batch["label"] * 2 + batch["fold"]).to_numpy(np.int64))
+            for lo, hi in by_bytes([len(t) for t in texts], BLOCK):
+                words, doc = stems(texts[lo:hi])
+                v = _before(words, doc)
+                yield pd.DataFrame({"u": _before(v, doc), "v": v, "w": words, "in": cell[lo:hi][doc]}).drop_duplicates()
+
+    runs = sample.mapInPandas(leaving_little(run), "u long, v long, w long, in long").groupBy("u", "v", "w").agg(F.bit_or("in").alias("in"))
+    return runs.groupBy("v", "w").agg(F.bit_or("in").alias("held"), *_sums(F.col("in"))).withColumnRenamed("held", "in")
+
+
+def _sums(held: Column) -> list[Column]:
+    """How many rows each label of each model holds. held: bits of 2 * label + fold."""
+    masks = {"a": 1, "b": 2, "all": 3}
+    return [F.count_if(held.bitwiseAND(F.lit(masks[m] << 2 * c)) != 0).alias(f"n{c}_{m}") for m in MODELS for c in (0, 1)]
+
+
+def _cut(n: str) -> Column:
+    return F.least(F.col(n), F.lit(D))
+
+
+def evidence(pairs: DataFrame) -> dict[str, Evidence]:
+    """The evidence of each model, from the counts of _counted()."""
+    words = pairs.groupBy("w").agg(*_sums(F.col("in")))
+    cells = [f"{c}_{m}" for m in MODELS for c in (0, 1)]
+    total = words.agg(*[F.coalesce(F.sum(f"n{x}"), F.lit(0)).alias(f"t{x}") for x in cells], *[F.coalesce(F.sum(_cut(f"n{x}")), F.lit(0)).alias(f"r{x}") for x in cells]).first()
+    models = [m for m in MODELS if all(total[f"t{c}_{m}"] > total[f"r{c}_{m}"] for c in (0, 1))]
+    out = {m: Evidence() for m in MODELS}
+    if not models:
+        return out
+    for m in models:
+        g = max(total[f"r{c}_{m}"] / total[f"t{c}_{m}"] for c in (0, 1))
+        shared = (F.col(f"n0_{m}") + F.col(f"n1_{m}")) / (total[f"t0_{m}"] + total[f"t1_{m}"])
+        for c in (0, 1):
+            own = (F.col(f"n{c}_{m}") - _cut(f"n{c}_{m}")) / (total[f"t{c}_{m}"] - total[f"r{c}_{m}"])
+            words = words.withColumn(f"over{c}_{m}", F.try_divide((1 - g) * own, shared) + g)  # P(w | class) / s(w); null where the model has no w
+    words = words.select("w", *[f"over{c}_{m}" for m in models for c in (0, 1)], *[_beyond(F.log(F.col(f"over1_{m}") / F.col(f"over0_{m}"))).alias(f"x_{m}") for m in models])
+    words = written(words, "toxicity-words")
+    found = pairs.join(words, "w")
+    back = {f"{c}_{m}": (F.col(f"n0_{m}") + F.col(f"n1_{m}")) * F.col(f"over{c}_{m}") for m in models for c in (0, 1)}
+    sums = [x for k, b in back.items() for x in (F.sum(f"n{k}").alias(f"t{k}"), F.sum(_cut(f"n{k}")).alias(f"r{k}"), F.sum(b).alias(f"b{k}"))]
+    found = found.join(found.groupBy("v").agg(*sums), "v")
+    for k, b in back.items():
+        left = F.coalesce(F.try_divide(F.col(f"r{k}"), F.col(f"t{k}")), F.lit(1.0))
+        found = found.withColumn(f"p{k}", (F.col(f"n{k}") - _cut(f"n{k}")) / F.greatest(F.col(f"t{k}"), F.lit(1)) + left * F.try_divide(b, F.col(f"b{k}")))
+    found = found.select("v", "w", *[F.when(F.col(f"n0_{m}") + F.col(f"n1_{m}") > 0, _beyond(F.log(F.col(f"p1_{m}") / F.col(f"p0_{m}")))).alias(f"y_{m}") for m in models], *[f"x_{m}" for m in models])
+    for m in models:
+        found = found.withColumn(f"y_{m}", F.when(F.abs(F.col(f"y_{m}") - F.col(f"x_{m}")) > DIFFERS, F.col(f"y_{m}")))
+    kept_pairs = found.where(" or ".join(f"y_{m} is not null" for m in models)).select("v", "w", *[f"y_{m}" for m in models]).toPandas()
+    kept_words = words.where(" or ".join(f"x_{m} <> 0" for m in models)).select("w", *[f"x_{m}" for m in models]).toPandas()
+    drop_written(words)
+    for m in models:
+        w = kept_words[kept_words[f"x_{m}"].fillna(0) != 0].sort_values("w")
+        p = kept_pairs[kept_pairs[f"y_{m}"].notna()]
+        keys = _pairs(p["v"].to_numpy(np.int64), p["w"].to_numpy(np.int64))
+        order = np.argsort(keys)
+        out[m] = Evidence(w["w"].to_numpy(np.int64), w[f"x_{m}"].to_numpy(float), keys[order], p[f"y_{m}"].to_numpy(float)[order])
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -156,43 +201,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id", F.lit("toxicity")))
     picked = known.where("label = 0").orderBy("order", "doc_id").limit(per_class).union(known.where("label = 1").orderBy("order", "doc_id").limit(per_class))
     # at most 2 * per_class rows of three numbers
-    sample = written(
-        docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label", F.pmod("order", F.lit(2)).cast("int").alias("fold")),
-        "toxicity-sample",
-    )
-    counts = written(_counted(sample), "toxicity-counts")
-    halves = [_evidence(counts, "c00", "c10"), _evidence(counts, "c01", "c11")]
-    whole = _evidence(counts, "c00 + c01", "c10 + c11")
+    held = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = held.groupBy("doc_id", "label", "order").agg(F.max("text").alias("text"))
+    sample = written(sample.select("text", "label", F.pmod("order", F.lit(2)).cast("int").alias("fold")), "toxicity-sample")
+    pairs = written(_counted(sample), "toxicity-pairs")
+    models = evidence(pairs)
 
     def crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maps = [h.bitmap() for h in halves]
         for batch in batches:
-            for fold, other in ((0, 1), (1, 0)):
+            for fold, other in ((0, "b"), (1, "a")):
                 part = batch[batch["fold"] == fold]
                 if len(part):
-                    yield pd.DataFrame({"x": evidence_in(part["text"].tolist(), halves[other], maps[other])[0], "y": part["label"].astype(float)})
+                    yield pd.DataFrame({"x": models[other].difference(part["text"].tolist())[0], "y": part["label"].astype(float)})
 
-    got = sample.mapInPandas(crossed, "x double, y double").toPandas()
+    got = sample.mapInPandas(leaving_little(crossed), "x double, y double").toPandas()
     drop_written(sample)
-    drop_written(counts)
-    if not len(whole.grams) or got["y"].nunique() < 2:
-        return Model(whole, 0.0, -30.0)
+    drop_written(pairs)
+    if not len(models["all"].words) or got["y"].nunique() < 2:
+        return Model(models["all"], 0.0, -30.0)
     rate = got["y"].mean()
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slope, shift = _logistic(got["x"].to_numpy(), got["y"].to_numpy())
+    slope, shift = _logistic(_felt(got["x"].to_numpy()), got["y"].to_numpy())
     prior = shares[1] / (shares[0] + shares[1])
-    return Model(whole, slope, shift + math.log(prior / (1 - prior)) - math.log(rate / (1 - rate)))
+    return Model(models["all"], slope, shift + math.log(prior / (1 - prior)) - math.log(rate / (1 - rate)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, from 0 to 1, for each row of `docs`."""
     arrow_rows(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of fit()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = model.evidence.bitmap()
+        known = sent.value
         for batch in batches:
-            x, size = evidence_in(batch["text"].tolist(), model.evidence, bitmap)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.where(size > 0, 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30))), 0.0)})
+            x, size = known.evidence.difference(batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.where(size > 0, 1 / (1 + np.exp(-np.clip(known.slope * _felt(x) + known.shift, -30, 30))), 0.0)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(leaving_little(run), f"doc_id {kind}, score double")
