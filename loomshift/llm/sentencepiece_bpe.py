@@ -3,21 +3,26 @@
 The vocabulary's merges are ordered, so the best path is not the one of the largest score sum: a path's pieces must be the
 ones that the merges end with. A pair of adjacent pieces is compatible if encoding their joined text gives the pair back;
 the encoding of a word is the one path all of whose adjacent pairs are compatible. So the Viterbi table holds, for each
-prefix of a word and each piece that ends it, whether a compatible path leads there; exactly one does.
+prefix of a word, the piece that the compatible path to it ends with; exactly one does.
 
-Words (runs of spaces with what follows, which no piece crosses) of one length advance together: at each end place, the
-hashes of all substrings that end there probe the sorted hashes of the pieces, each match is tested against the piece that
-the best path of the shorter prefix ends with, and a maximum over the matches stores the backpointer. Compatibility of a
-pair of pieces is worked out once by merging, and kept. Characters without a piece are spelt in byte pieces, as the
-vocabulary's fallback has it.
+A block of texts is one array of characters, cut into words: before runs of spaces, and wherever no piece holds the two
+characters that meet. Words of one length advance together: the hashes of all their substrings probe the sorted hashes of the
+pieces; at each end place a maximum over the matches that follow a path takes the longest, and stores it as the backpointer,
+once it is compatible with the piece before it; else the next longest follows.
+
+Compatibility is worked out by the times at which merging makes a piece: the last two parts of each piece are known, and the
+parts that meet at the border of a pair are undone from the latest one, for all pairs at once. If two parts that meet could
+be merged before either grows, the pair falls apart. Pairs whose times are equal are merged one by one instead.
+
+Characters without a piece are spelt in byte pieces, as the vocabulary's fallback has it. Words and pairs met before are kept
+in numpy arrays of bounded size. Memory follows one block (BLOCK characters, or one longer text).
 
 Nulls and ties: a null text is empty and has no ids. Equal maxima can't occur, as the compatible piece is unique. Rows
-that repeat a doc_id are encoded each. Extra columns are not read. Memory follows one Arrow batch and a bounded cache.
+that repeat a doc_id are encoded each. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,24 +31,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import arrow_rows, by_bytes, mix64, text_of
+from loomshift.llm.id_cache import IdCache, runs
+from loomshift.llm.shared import arrow_rows, by_bytes, leaving_little, mix64, text_of
+from loomshift.llm.words import powers
 
-#: Words kept; beyond them the cache starts anew, which changes speed only.
-MOST_CACHED = 600_000
+#: Words and pairs of pieces kept, which changes speed only.
+MOST_WORDS, PAIRS = 1_000_000, 1 << 20
+#: Characters of a block, and of a word that is kept.
+BLOCK, MOST_KEPT = 2_000_000, 48
+#: Places of the words that advance together.
+MOST_PLACES = 400_000
 SPACE = "▁"
-_WORD = re.compile("▁*[^▁]+|▁+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        value |= (b & 127) << shift
-        if b < 128:
-            return value, at
-        shift += 7
+_NONE, _START = -3, -1
+_NEVER = np.int64(1) << 40
 
 
 class PieceCodec:
@@ -54,174 +54,263 @@ class PieceCodec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        pieces = [model.id_to_piece(i) for i in range(n)]
-        self.unknown = model.unk_id()
+        self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.byte_ids = np.zeros(256, np.int64)
+        self.is_byte = np.zeros(n, bool)
         plain = []
-        for i, p in enumerate(pieces):
+        for i, p in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
+                self.is_byte[i] = True
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain.append(i)
-        self.score = {pieces[i]: model.get_score(i) for i in plain}
-        self.ids = {pieces[i]: i for i in plain}
-        self.text = [b""] * n
+        text = [b""] * n
         for i in plain:
-            self.text[i] = pieces[i].replace(SPACE, " ").encode()
+            text[i] = self.pieces[i].replace(SPACE, " ").encode()
         for b in range(256):
-            self.text[self.byte_ids[b]] = bytes([b])
-        self.pieces = pieces
-        self.longest = max(len(p) for p in self.ids)
-        hashes = np.array([self._hash(pieces[i]) for i in plain], np.uint64)
-        order = np.argsort(hashes)
-        self.keys, self.values = hashes[order], np.array(plain)[order]
-        if len(np.unique(self.keys)) < len(self.keys):
+            text[self.byte_ids[b]] = bytes([b])
+        self.text_size = np.array([len(t) for t in text])
+        self.text_begin = np.cumsum(self.text_size) - self.text_size
+        self.text_flat = np.frombuffer(b"".join(text), np.uint8)
+        self.ids = {self.pieces[i]: i for i in plain}
+        self._index(plain)
+        self._time(plain, {s: k for k, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}, model)
+        self.words = IdCache(MOST_WORDS)
+        self.pair_keys, self.pair_fits = np.zeros(PAIRS, np.uint64), np.zeros(PAIRS, bool)
+        self.odd_pairs: dict[tuple[int, int], bool] = {}
+
+    def _index(self, plain: list[int]) -> None:
+        """The pieces by hash, and the pairs of characters that meet in one."""
+        n = len(self.pieces)
+        self.raw, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        held = [self.pieces[i] for i in plain]
+        codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(p) for p in held])
+        ends = np.cumsum(sizes)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_values(codes), dtype=np.uint64)])
+        self.raw[plain] = (total[ends] - total[ends - sizes]) * powers(len(codes), inverse=True)[ends - sizes]
+        self.size[plain] = sizes
+        self.longest = int(sizes.max())
+        keys = mix64(self.raw[plain])
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.array(plain)[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.pairs: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return int(mix64(np.array([h], np.uint64))[0])
-
-    def merged(self, word: str) -> list[str]:
-        """A word's pieces by merging, best score first, leftmost among equals: what a pair's compatibility is tested by."""
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[keys >> np.uint64(44)] = True
+        inner = np.ones(len(codes), bool)
+        inner[ends - 1] = False
+        at = np.flatnonzero(inner)
+        letters = np.unique(np.concatenate([codes[at], codes[at + 1]]))
+        if any(chr(c) not in self.ids for c in letters.tolist()):
+            raise ValueError("a character of a piece has no piece")
+        self.number = np.zeros(0x110000, np.uint16)  # 0: of no longer piece
+        self.number[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.meet = np.zeros(self.width * self.width, bool)
+        self.meet[self.number[codes[at]].astype(np.int64) * self.width + self.number[codes[at + 1]]] = True
+
+    def _time(self, plain: list[int], rank_of: dict[float, int], model) -> None:
+        """The rank of each piece, its last two parts, and the time at which merging its text makes it (-1: a character; never: it doesn't)."""
+        n = len(self.pieces)
+        self.rank, self.time = np.full(n, _NEVER), np.full(n, _NEVER)
+        self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in plain:
+            self.rank[i] = rank_of[model.get_score(i)]
+        self.rank_of = {p: int(self.rank[i]) for p, i in self.ids.items()}
+        for i in sorted(plain, key=lambda i: len(self.pieces[i])):
+            p = self.pieces[i]
+            if len(p) == 1:
+                self.time[i] = -1
+                continue
+            parts = self.merged(p, 2)
+            if len(parts) == 2 and all(x in self.ids for x in parts):
+                self.left[i], self.right[i] = self.ids[parts[0]], self.ids[parts[1]]
+                self.time[i] = max(self.rank[i], self.time[self.left[i]], self.time[self.right[i]])
+
+    def merged(self, word: str, least: int = 1) -> list[str]:
+        """A word's pieces by merging, best score first, leftmost among equals, until `least` parts are left."""
         parts = list(word)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
+                s = self.rank_of.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s < best):
                     best, at = s, i
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _found(self, raw: np.ndarray) -> np.ndarray:
+        """The piece of each hash, before mixing."""
+        keys = mix64(raw)
+        out = np.full(len(raw), _NONE, np.int32)
+        near = np.flatnonzero(self.seen[keys >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[near]
+        out[near[hit]] = self.values[at[hit]]
+        return out
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the pieces stay a pair when their joined text is merged."""
+        out = np.ones(len(left), bool)
+        fixed = (left == _START) | (self.time[right] == _NEVER) | (self.time[left] == _NEVER)
+        out[fixed] = (self.time[right[fixed]] < _NEVER) & ((left[fixed] == _START) | (self.time[left[fixed]] < _NEVER))
+        live = np.flatnonzero(~fixed)
+        x, y = left[live], right[live]
+        until = np.full(len(live), _NEVER)  # the time at which one of the two parts that meet becomes part of a longer one
+        odd: list[np.ndarray] = []
+        power = powers(self.longest + 1)
+        while len(live):
+            both = self._found(self.raw[x] + self.raw[y] * power[self.size[x]])
+            tx, ty = self.time[x], self.time[y]
+            when = np.maximum(np.where(both > _NONE, self.rank[both], _NEVER), np.maximum(tx, ty))
+            apart = (both > _NONE) & (when < until)
+            out[live[apart]] = False
+            unclear = ~apart & ((both > _NONE) & (when == until) | (tx == ty) & (tx >= 0))
+            odd.append(live[unclear])
+            go = ~apart & ~unclear & (np.maximum(tx, ty) >= 0)
+            live, x, y, tx, ty = live[go], x[go], y[go], tx[go], ty[go]
+            until = np.maximum(tx, ty)
+            x, y = np.where(tx > ty, self.right[x], x), np.where(ty > tx, self.left[y], y)
+        for i in np.concatenate(odd).tolist() if odd else ():
+            pair = int(left[i]), int(right[i])
+            if pair not in self.odd_pairs:
+                if len(self.odd_pairs) >= PAIRS // 10:
+                    self.odd_pairs.clear()
+                a, b = self.pieces[pair[0]], self.pieces[pair[1]]
+                self.odd_pairs[pair] = self.merged(a + b) == [a, b]
+            out[i] = self.odd_pairs[pair]
+        return out
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the pieces stay a pair when their joined text is merged. left: -1 at a word's start, -2 for a character without a piece."""
-        keys = (left + 2) << 20 | (right + 2)
-        known, at = np.unique(keys, return_inverse=True)
-        out = np.empty(len(known), bool)
-        for i, k in enumerate(known.tolist()):
-            found = self.pairs.get(k)
-            if found is None:
-                a, b = (k >> 20) - 2, (k & 0xFFFFF) - 2
-                if a < 0:
-                    found = b < 0 or self.merged(self.pieces[b]) == [self.pieces[b]]
-                elif b < 0:
-                    found = True
-                else:
-                    found = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-                self.pairs[k] = found
-            out[i] = found
-        return out[at]
-
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """The piece ids of words of one length; -2 for a character without a piece."""
-        n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
-        running = np.zeros((n, size + 1), np.uint64)  # hash of each prefix
-        for j in range(size):
-            running[:, j + 1] = running[:, j] * _BASE + codes[:, j]
-        power = np.ones(self.longest + 1, np.uint64)
-        np.multiply.accumulate(np.full(self.longest, _BASE), out=power[1:])
-        last = np.full((n, size + 1), -3, np.int64)  # the piece that the compatible path to a prefix ends with; -3: none
-        last[:, 0] = -1
-        step = np.zeros((n, size + 1), np.int64)  # its length, the backpointer
+        """_fits(), with what was worked out before; a new pair takes the place of an older one. left: -1 at a word's start."""
+        keys = (left + 2).astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = (mix64(keys) & np.uint64(len(self.pair_keys) - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[slot] != keys)
+        out = self.pair_fits[slot]
+        if len(new):
+            out[new] = self._fits(left[new], right[new])
+            self.pair_keys[slot[new]], self.pair_fits[slot[new]] = keys[new], out[new]
+        return out
+
+    def viterbi(self, total: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words of one length (at least 2), one row each from the right end on, and how many each has. total: running sums of the block's characters."""
+        n = len(begin)
+        longest = min(size, self.longest)
+        inverse, row = powers(len(total), inverse=True), np.arange(n)
+        piece = np.full((size + 1, n, longest + 1), _NONE, np.int32)  # that ends at a place, by its length
+        for k in range(1, longest + 1):
+            start = begin[None, :] + np.arange(size - k + 1)[:, None]
+            piece[k:, :, k] = self._found(((total[start + k] - total[start]) * inverse[start]).ravel()).reshape(start.shape)
+        last = np.full((size + 1, n), _NONE, np.int64)  # the piece that the compatible path to a prefix ends with
+        last[0] = _START
+        step = np.zeros((size + 1, n), np.int64)  # its length, the backpointer
         for end in range(1, size + 1):
-            begin = np.arange(max(0, end - self.longest), end)
-            sub = mix64((running[:, [end]] - running[:, begin] * power[end - begin]).ravel())
-            at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
-            piece = np.where(self.keys[at] == sub, self.values[at], -3).reshape(n, len(begin))
-            bare = piece[:, -1] == -3
-            piece[bare, -1] = -2
-            row, col = np.nonzero((piece > -3) & (last[:, begin] > -3))
-            ok = self.compatible(last[row, begin[col]], piece[row, col])
-            good = np.full((n, len(begin)), -1, np.int64)
-            good[row[ok], col[ok]] = (end - begin)[col[ok]]
-            best = good.argmax(1)
-            found = good[np.arange(n), best] > 0
-            last[found, end] = piece[found, best[found]]
-            step[found, end] = (end - begin)[best[found]]
-        out: list[list[int]] = [[] for _ in range(n)]
-        place, live = np.full(n, size), np.arange(n)
-        if (last[:, size] == -3).any():
+            reach = np.arange(min(end, longest) + 1)
+            fits = (piece[end][:, reach] > _NONE) & (last[end - reach].T > _NONE)
+            fits[:, 0] = False
+            todo = row
+            while len(todo):
+                best = fits[todo][:, ::-1].argmax(1)
+                best = len(reach) - 1 - best
+                todo, best = todo[fits[todo, best]], best[fits[todo, best]]
+                ok = self.compatible(last[end - best, todo], piece[end][todo, best])
+                done = todo[ok]
+                last[end, done], step[end, done] = piece[end][done, best[ok]], best[ok]
+                fits[todo[~ok], best[~ok]] = False
+                todo = todo[~ok]
+        if (last[size] == _NONE).any():
             raise ValueError("a word has no compatible path")
+        out, count = np.zeros((n, size), np.uint32), np.zeros(n, np.int64)
+        place, live = np.full(n, size), row
         while len(live):
-            for i, p in zip(live.tolist(), last[live, place[live]].tolist(), strict=True):
-                out[i].append(p)
-            place[live] -= step[live, place[live]]
+            out[live, count[live]] = last[place[live], live]
+            count[live] += 1
+            place[live] -= step[place[live], live]
             live = live[place[live] > 0]
-        return [p[::-1] for p in out]
-
-    def _spelt(self, word: str, path: list[int]) -> bytes:
-        if -2 not in path:
-            return np.array(path, "<u4").tobytes()
-        ids: list[int] = []
-        at = 0
-        for p in path:
-            if p == -2:
-                ids += self.byte_ids[list(word[at].encode())].tolist()
-                at += 1
-            else:
-                ids.append(p)
-                at += len(self.pieces[p])
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        for w in words:
-            if len(w) > 64:
-                self.cache[w] = self._spelt(w, self.long_word(w))
-            else:
-                by_size.setdefault(len(w), []).append(w)
-        for size, group in by_size.items():
-            most = max(1, 400_000 // size)
-            for at in range(0, len(group), most):
-                part = group[at : at + most]
-                for w, path in zip(part, self.viterbi(part), strict=True):
-                    self.cache[w] = self._spelt(w, path)
-
-    def long_word(self, word: str) -> list[int]:
-        """The same table for one long word, a place at a time: memory and time follow its length."""
-        last, step = [-1], [0]
-        for end in range(1, len(word) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                piece = self.ids.get(word[end - size : end], -2 if size == 1 else -3)
-                if piece > -3 and last[end - size] > -3 and self.compatible(np.array([last[end - size]]), np.array([piece]))[0]:
-                    last.append(piece)
-                    step.append(size)
-                    break
-            else:
-                last.append(-3)
-                step.append(0)
-        out, at = [], len(word)
-        while at:
-            out.append(last[at])
-            at -= step[at]
-        return out[::-1]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit bytes."""
-        cut = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in cut for w in ws}
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > MOST_CACHED:
-            self.cache.clear()
-            new = {w for ws in cut for w in ws}
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
-
-    def decode(self, ids: list[bytes]) -> list[str]:
+        return out, count
+
+    def _learn(self, codes: np.ndarray, total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, how many ids each, the ids) of words, in an order of its own."""
+        order, counts, flat = [], [], []
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            for at in range(0, len(own), max(1, MOST_PLACES // k)):
+                part = own[at : at + max(1, MOST_PLACES // k)]
+                order.append(part)
+                if k == 1:
+                    got = self._found(_values_at(codes[begin[part]]))
+                    ids = [[p] if p > _NONE else self.byte_ids[list(chr(c).encode())].tolist() for p, c in zip(got.tolist(), codes[begin[part]].tolist(), strict=True)]
+                    counts.append(np.array([len(x) for x in ids]))
+                    flat.append(np.array([i for x in ids for i in x], np.uint32))
+                else:
+                    out, n = self.viterbi(total, begin[part], k)
+                    counts.append(n)
+                    flat.append(out[:, ::-1][np.arange(k) >= k - n[:, None]])
+        return np.concatenate(order), np.concatenate(counts), np.concatenate(flat)
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join([SPACE + t if t else "" for t in texts]).encode("utf-32-le"), np.uint32).copy()
+        space = ord(SPACE)
+        codes[codes == 32] = space
+        text_ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        number = self.number[codes].astype(np.int64)
+        start = np.ones(len(codes), bool)
+        start[1:] = ~self.meet[number[:-1] * self.width + number[1:]] | (codes[1:] == space) & (codes[:-1] != space)
+        start[text_ends[:-1][text_ends[:-1] < len(codes)]] = True
+        begin = np.flatnonzero(start)
+        size = np.diff(np.append(begin, len(codes)))
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_values(codes), out=total[1:])
+        kept = np.flatnonzero(size <= MOST_KEPT)
+        keys = mix64((total[begin + size] - total[begin])[kept] * powers(len(total), inverse=True)[begin[kept]] + size[kept].astype(np.uint64))
+
+        def learn(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order, n, flat = self._learn(codes, total, begin[kept[places]], size[kept[places]])
+            return places[order], n, flat
+
+        ids, n = self.words.ids(keys, learn)
+        counts = np.zeros(len(begin), np.int64)
+        counts[kept] = n
+        if len(kept) < len(begin):
+            rest = np.flatnonzero(size > MOST_KEPT)
+            order, n, flat = self._learn(codes, total, begin[rest], size[rest])
+            counts[rest[order]] = n
+            starts = np.empty(len(rest), np.int64)
+            starts[order] = np.cumsum(n) - n
+            is_long = np.repeat(size > MOST_KEPT, counts)
+            both = np.empty(len(is_long), np.uint32)
+            both[~is_long], both[is_long] = ids, flat[runs(starts, counts[rest])]
+            ids = both
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return ids, at[np.searchsorted(begin, np.concatenate([[0], text_ends]))]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin."""
+        parts, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for lo, hi in by_bytes([len(t) for t in texts], BLOCK):
+            ids, bounds = self._block(texts[lo:hi])
+            parts.append(ids)
+            ends.append(ends[-1][-1] + bounds[1:])
+        return np.concatenate(parts), np.concatenate(ends)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of encode()'s results."""
-        text = self.text.__getitem__
-        return [b"".join(map(text, np.frombuffer(x, "<u4").tolist()))[1:].decode("utf-8", "replace") for x in ids]
+        size = self.text_size[ids]
+        raw = self.text_flat[runs(self.text_begin[ids], size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[bounds].tolist()
+        return [raw[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _values_at(codes: np.ndarray) -> np.ndarray:
+    """The hash of single characters, before mixing."""
+    return codes.astype(np.uint64) + np.uint64(1)
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    return _values_at(codes) * powers(len(codes))
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -240,22 +329,21 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        is_byte = np.zeros(len(own.pieces), bool)
-        is_byte[own.byte_ids] = True
         for batch in batches:
             texts = batch["text"].tolist()
-            for lo, hi in by_bytes([len(t) for t in texts]):
-                got = own.encode(texts[lo:hi])
-                arrays = [np.frombuffer(x, "<u4") for x in got]
-                out = {"doc_id": batch["doc_id"].iloc[lo:hi], "n_ids": [len(a) for a in arrays], "ids_crc32": [zlib.crc32(x) for x in got], "n_byte_ids": [int(is_byte[a].sum()) for a in arrays]}
-                out["round_trip"] = [a == b for a, b in zip(own.decode(got), texts[lo:hi], strict=True)]
+            for lo, hi in by_bytes([len(t) for t in texts], BLOCK):
+                ids, bounds = own.encode(texts[lo:hi])
+                raw, cuts = memoryview(ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
+                spelt = np.concatenate([[0], np.cumsum(own.is_byte[ids])])[bounds]
+                out = {"doc_id": batch["doc_id"].iloc[lo:hi], "n_ids": np.diff(bounds), "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "n_byte_ids": np.diff(spelt)}
+                out["round_trip"] = [a == b for a, b in zip(own.decode(ids, bounds), texts[lo:hi], strict=True)]
                 if with_ids:
-                    out["ids"] = [a.astype(np.int32) for a in arrays]
+                    out["ids"] = np.split(ids.astype(np.int32), bounds[1:-1])
                 yield pd.DataFrame(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, n_byte_ids long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(leaving_little(run), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -265,8 +353,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            ids = [np.asarray([] if x is None else x, "<u4").tobytes() for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": own.decode(ids)})
+            ids = [np.asarray([] if x is None else x, np.int64) for x in batch["ids"]]
+            bounds = np.cumsum([0, *[len(x) for x in ids]])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": own.decode(np.concatenate([np.zeros(0, np.int64), *ids]), bounds)})
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", F.col("ids")).mapInPandas(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", F.col("ids")).mapInPandas(leaving_little(run), f"doc_id {kind}, text string")
