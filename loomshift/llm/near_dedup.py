@@ -9,7 +9,8 @@ over all documents in FREQUENCY_SLOTS hashed slots, so the table sent out has a
 2. Texts equal in a band form a bucket. Each bucket compares its members with a leader, not all pairs: members joined to
    the leader need no comparison with one another, so copies of one text cost one comparison each. What is then left
    apart in a bucket (members of all components but the largest) meets the bucket's members in blocks of bounded size: a
-   block's similarities are one matrix product over its shingles, and only links that join components come out of it. So
+   block's similarities are one matrix product over its shingles, and only links that join components come out of it; blocks
+   are bounded by texts and by characters, so their memory follows these bounds or the longest text. So
    no link within a bucket is lost, and no pair is a row unless it is one with a leader or a link that counts.
 3. A comparison takes the exact weighted Jaccard similarity of the whole texts; SIMILARITY or more is a link.
 4. Components of the links by smallest labels with pointer jumping, in tables of the shared folder.
@@ -31,15 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, mix64, text_of, written
+from loomshift.llm.shared import arrow_rows, by_bytes, drop_written, lean, leaving_little, mix64, text_of, tidy, written
 from loomshift.llm.words import grams, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 FREQUENCY_SLOTS = 1 << 18
-#: The most texts of a block that meet, and the columns of one matrix product.
+#: About the most texts of a block that meet, their characters, and the columns of one matrix product.
 LEFT, RIGHT, COLUMNS = 1024, 2048, 1024
+LEFT_CHARS, RIGHT_CHARS = 750_000, 1_500_000
 _LEVELS = 1 << 16
 
 
@@ -144,7 +146,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         held = np.flatnonzero(total)
         yield pd.DataFrame({"slot": np.append(held, FREQUENCY_SLOTS), "n": np.append(total[held], n)})
 
-    rows = docs.select(text_of().alias("text")).mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text_of().alias("text")).mapInPandas(leaving_little(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(FREQUENCY_SLOTS + 1)
     df[rows["slot"]] = rows["n"]
     return (np.log((df[-1] + 1) / (np.minimum(df[:-1], df[-1]) + 1)) / np.log(df[-1] + 2)).astype(np.float32)
@@ -161,7 +163,7 @@ def _banded(docs: DataFrame, idf) -> DataFrame:
                 if len(found):
                     yield pd.DataFrame({"key": keys[lo:hi][np.diff(bounds) > 0], "bands": list(bands_of(samples(found, weights, bounds, BANDS * ROWS)))})
 
-    return docs.select("key", "text").mapInPandas(run, "key binary, bands array<long>")
+    return docs.select("key", "text").mapInPandas(leaving_little(run), "key binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -178,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             yield batch.loc[near, ["a", "b"]]
 
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInPandas(leaving_little(run), "a binary, b binary")
 
 
 def overlaps(features: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -226,8 +228,11 @@ def overlaps(features: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, ri
 
 def _settled(state: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Links between the components that a bucket still holds. state: bucket, key, label, apart (not of the largest component)."""
-    sizes = state.groupBy("bucket").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("n"))
-    rows = state.join(sizes, "bucket").withColumn("ub", F.ceil(F.col("u") / LEFT).cast("int")).withColumn("nb", F.ceil(F.col("n") / RIGHT).cast("int"))
+    state = state.join(texts.select("key", F.length("text").alias("chars")), "key")
+    own = F.when(F.col("apart"), F.col("chars"))
+    sizes = state.groupBy("bucket").agg(F.count("apart").alias("n"), F.count(own).alias("u"), F.sum("chars").alias("all_chars"), F.sum(own).alias("own_chars"))
+    blocks = lambda n, most, chars, most_chars: F.ceil(F.greatest(F.col(n) / most, F.col(chars) / most_chars)).cast("int")
+    rows = state.join(sizes, "bucket").withColumn("ub", blocks("u", LEFT, "own_chars", LEFT_CHARS)).withColumn("nb", blocks("n", RIGHT, "all_chars", RIGHT_CHARS))
     dealt = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
     lefts = rows.where("apart").select("bucket", dealt(1, "ub").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "key", "label", F.lit(True).alias("left"))
     rights = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("i"), dealt(2, "nb").alias("j"), "key", "label", F.lit(False).alias("left"))
@@ -266,7 +271,13 @@ def _settled(state: DataFrame, texts: DataFrame, idf) -> DataFrame:
                     out.append((name[a], name[b]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return both.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
+    def block(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(group)
+        finally:
+            lean()
+
+    return both.groupBy("bucket", "i", "j").applyInPandas(block, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,6 +300,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(key, label) of each distinct text that has a near copy of another text. docs: doc_id, text."""
+    with tidy() as kept:
+        labels = _classes(docs)
+        kept.append(labels)
+    return labels
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     idf = spark.sparkContext.broadcast(frequencies(docs))  # FREQUENCY_SLOTS numbers
@@ -308,13 +326,17 @@ def classes(docs: DataFrame) -> DataFrame:
     state = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).where("a <> key").select("bucket", "key", "label")
     parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("n", "label")).alias("major")).where("parts > 1").drop("parts")
-    state = written(state.join(parts, "bucket").select("bucket", "key", "label", (F.col("label") != F.col("major")).alias("apart")), "open")
+    state_table = written(state.join(parts, "bucket").select("bucket", "key", "label", (F.col("label") != F.col("major")).alias("apart")), "open")
     drop_written(members)
-    more = written(_settled(state, texts, idf), "links")
-    if more.isEmpty():
-        return labels
-    drop_written(labels)
-    return components(links.union(more))
+    more = written(_settled(state_table, texts, idf), "links")
+    drop_written(state_table)
+    drop_written(texts)
+    if not more.isEmpty():
+        drop_written(labels)
+        labels = components(links.union(more))
+    drop_written(links)
+    drop_written(more)
+    return labels
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -333,7 +355,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = ids.join(classes(docs), "key", "left")
     best = ids.where("label is not null").groupBy("label").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("best"))
     known = ids.where("label is not null or n > 1").join(best, "label", "left").select("key", "id", F.coalesce(F.col("key") == F.col("best"), F.lit(True)).alias("stays"))
-    rows = docs.withColumn("near_dedup_key", _key())
-    found = rows.join(known.select(F.col("key").alias("near_dedup_same"), F.struct("id", "stays").alias("near_dedup_known")), F.col("near_dedup_key") == F.col("near_dedup_same"), "left")
-    keep = F.col("near_dedup_known").isNull() | (F.col("near_dedup_known.stays") & rows["doc_id"].eqNullSafe(F.col("near_dedup_known.id")))
-    return found.where(keep).select(*[rows[f"`{c}`"] for c in docs.columns])
+    # the rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), _key().alias("key"))
+    found = rows.join(known.select("key", F.struct("id", "stays").alias("known")), "key", "left")
+    keep = F.col("known").isNull() | (F.col("known.stays") & F.col("own").eqNullSafe(F.col("known.id")))
+    return found.where(keep).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

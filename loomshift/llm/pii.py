@@ -9,7 +9,10 @@ email, ip (four parts of at most 255), card (14 to 19 digits that pass Luhn), ph
 Added kinds: account (an identifier after a cue such as "account no."), secret (a value after "token =" and the like) and
 login (a URL that carries a user name or password).
 
-Positions are code points, ends exclusive. A null text is empty; other columns are not read by `find`, and kept by `redact`.
+Positions are code points, ends exclusive. A null text is empty for `find` and stays null in `redact`; an empty table gives an
+empty one. Rows that repeat an id or a text are read each. Very long texts are read whole, one pass each, in Arrow batches
+that end after a few MB. Where two cues meet, each kind keeps its own leftmost match. Other columns are not read by `find`,
+and kept by `redact`, where n_chars follows the new text (a null text keeps its own).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import arrow_rows, text_of
+from loomshift.llm.shared import arrow_rows, leaving_little, text_of
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login")
 BASE = KINDS[:4]
@@ -153,7 +156,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(leaving_little(run), schema)
 
 
 def redacted(text: str) -> str:
@@ -179,4 +182,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return texts.map(lambda t: None if t is None else redacted(t))
 
     out = docs.withColumn("text", clean(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -28,10 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables in the shared folder that stand, as lazy results may still read them. They go with the driver's process at last.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in _WRITTEN.items():
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, path)
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """`df` as a table in the shared folder: later steps start from its files, whichever executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/loomshift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN[path] = df.sparkSession
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.loomshift_path = path
     return out
@@ -39,12 +57,17 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that written() made and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.loomshift_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.loomshift_path)
+    _WRITTEN.pop(df.loomshift_path, None)
 
 
-_SHIPPED: set[str] = set()
+@contextlib.contextmanager
+def tidy() -> Iterator[list[DataFrame]]:
+    """Tables that are written inside go at its end, but for those put into the list."""
+    before, kept = set(_WRITTEN), []
+    yield kept
+    for path in set(_WRITTEN) - before - {df.loomshift_path for df in kept}:
+        _delete(_WRITTEN.pop(path), path)
 
 
 #: Bytes of an Arrow batch, beyond which it ends (a longer row is one by itself), and its rows.
@@ -55,11 +78,9 @@ KEPT_MB = 160
 
 def lean() -> None:
     """Give the memory of finished work back to the system, as workers are kept for later stages."""
-    with open("/proc/self/statm") as f:
-        pages = int(f.read().split()[1])
-    if pages * 4096 > KEPT_MB << 20:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
+    with contextlib.suppress(OSError, AttributeError), open("/proc/self/statm") as f:
+        if int(f.read().split()[1]) * 4096 > KEPT_MB << 20:
+            pa.default_memory_pool().release_unused()
             ctypes.CDLL(None).malloc_trim(0)
 
 
@@ -75,6 +96,9 @@ def leaving_little(run: Callable) -> Callable:
     return wrapped
 
 
+_SHIPPED: set[str] = set()
+
+
 def arrow_rows(spark: SparkSession) -> None:
     """Before Python code runs on executors: Arrow batches bounded by bytes and rows, the same for all operators, and the package sent along once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -3,28 +3,10 @@ from collections import Counter
 
 import numpy as np
 
+import plain
 from loomshift.llm import near_dedup
 
 
-def brute_groups(rows, idf):
-    """Components of all pairs of whole texts with a weighted Jaccard similarity of 0.8 or more."""
-    keys, weights, bounds = near_dedup.shingles([t or "" for _, t in rows], idf)
-    parent = list(range(len(rows)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    sets = [(keys[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    for i in range(len(rows)):
-        for j in range(i):
-            same = (rows[i][1] or "") == (rows[j][1] or "")
-            if same or (len(sets[i][0]) and len(sets[j][0]) and near_dedup.weighted_jaccard(sets[i], sets[j]) >= near_dedup.SIMILARITY):
-                parent[top(i)] = top(j)
-    return [top(i) for i in range(len(rows))]
-
-
 def corpus(seed=4):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(600)]
@@ -43,7 +25,7 @@ def test_groups_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
     got = near_dedup.group(docs).collect()
-    want = brute_groups(rows, near_dedup.frequencies(docs))
+    want = plain.near_groups([t or "" for _, t in rows])
     assert len(got) == len(rows)
     least = {}
     for (i, _), g in zip(rows, want, strict=True):
@@ -58,6 +40,23 @@ def test_groups_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEFT_CHARS", 3000)
+    monkeypatch.setattr(near_dedup, "RIGHT_CHARS", 5000)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for k in range(60):  # a chain: each is near the next, the first is far from the last
+        base = list(base)
+        for _ in range(4):
+            base[rng.randrange(len(base))] = rng.choice(vocabulary)
+        rows.append((k, " ".join(base)))
+    want = plain.near_groups([t for _, t in rows])
+    got = {r.doc_id: r.class_id for r in near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want)) == len(set(got.values())) and all(got[i] == got[j] for i in got for j in got if want[i] == want[j])
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(2)
     base = [str(rng.randrange(10_000)) for _ in range(400)]

@@ -1,11 +1,13 @@
 import importlib.util
-import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomshift.llm import language, near_dedup, pii
+import plain
+from loomshift.llm import pii
 from loomshift.llm.queries import language_model
 
 if importlib.util.find_spec("corpus_pipeline") is None:
@@ -21,33 +23,20 @@ def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language_model(docs)
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
-    kept = {}
-    for i, t in rows.items():
-        counts = language.counts_of([t])
-        cosines = language.vectors_of([t], model.idf) @ model.centroids.T
-        if re.search(r"[^\W\d_]", t) and cosines.max() >= model.limits[cosines.argmax()] * min(1, counts.sum() / language.LONG) ** 0.5:
-            kept[i] = t
+    kept = {i: t for i, t in rows.items() if plain.accepted(t, model)}
     last = {t: i for i, t in sorted(kept.items())}
     kept = {i: t for t, i in last.items()}
-    idf = near_dedup.frequencies(spark.createDataFrame(list(kept.items()), "doc_id long, text string"))
     ids = sorted(kept)
-    keys, weights, bounds = near_dedup.shingles([kept[i] for i in ids], idf)
-    sets = [(keys[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    label = list(range(len(ids)))
-    for a in range(len(ids)):
-        for b in range(a):
-            if len(sets[a][0]) and len(sets[b][0]) and near_dedup.weighted_jaccard(sets[a], sets[b]) >= near_dedup.SIMILARITY:
-                old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = [new if x == old else x for x in label]
-    kept = {ids[k]: pii.redacted(kept[ids[k]]) for k in sorted(set(label))}
+    least = {}
+    for i, g in zip(ids, plain.near_groups([kept[i] for i in ids]), strict=True):
+        least.setdefault(g, i)
+    kept = {k: pii.redacted(kept[k]) for k in least.values()}
     encoder = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     want = {i: [*encoder.encode(t, add_special_tokens=False).ids, 1] for i, t in kept.items()}
     out = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(out.doc_id) == set(want)
     assert out.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in want.items()}
     assert (out.doc_tokens == out.doc_id.map(lambda i: len(want[i]))).all()
-    import zlib
-
     for r in out.itertuples():
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
@@ -58,3 +47,23 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["row", "key", "near_dedup_key", "digest", "bucket", "known", "order"]
+    odd = spark.createDataFrame([(7_000_001, None, "en", "s", 0), (7_000_002, "", "en", None, 0), (None, "½ 12", None, "s", 4)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+        none = stage(spark, docs.limit(0), DATA)
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.pack(spark, docs, DATA).select("doc_id").distinct().count() == 63
+    assert corpus_pipeline.pack(spark, docs.limit(0), DATA).count() == 0
+    cleaned = {r.doc_id: r for r in corpus_pipeline.redact(spark, odd, DATA).collect()}
+    assert cleaned[7_000_001].text is None and cleaned[7_000_001].n_chars == 0 and cleaned[7_000_002].n_chars == 0
