@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import by_bytes, drop_written, text_of, written
+from loomshift.llm.shared import by_bytes, drop_written, leaving_little, text_of, written
 
 ORDER = 4
 BLOCK = 8_000_000
@@ -102,7 +102,7 @@ def counts(trusted: DataFrame) -> DataFrame:
             at, _, grams = grams_of(rows["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": np.bincount(at, minlength=len(grams)).astype(np.int64)})
 
-    return trusted.select(text_of().alias("text")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select(text_of().alias("text")).mapInArrow(leaving_little(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -186,10 +186,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out.append(pa.table({"doc_id": part["doc_id"], "lang": part["lang"], "n_symbols": n.astype(np.int64), "nll": pa.array(nll, mask=n == 0)}))
         return pa.concat_tables(out)
 
-    held = written(rows.mapInArrow(keys, "block long, at int, gram string"), "grams")
+    held = written(rows.mapInArrow(leaving_little(keys), "block long, at int, gram string"), "grams")
     known = probabilities(held.select("gram").distinct(), model)
     back = held.join(known, "gram").select("block", "at", F.col("p").cast("float").alias("p"))
-    packed = rows.mapInArrow(texts, "block long, packed binary")
+    packed = rows.mapInArrow(leaving_little(texts), "block long, packed binary")
     out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(summed, f"doc_id {kind}, lang string, n_symbols long, nll double")
     out = written(out, "scored")
     drop_written(held)

@@ -4,9 +4,6 @@ Symbols are whole characters as they are, in any script, and the model is that o
 dealt to shards and joined there, without a fixed alphabet or table size. classify() pre-aggregates the documents' grams by
 blocks of documents and joins them with the shards.
 
-grams_of(), counts() and probabilities() are the same model over 64 classes of bytes, as one dense table; the tests compare
-it with a plain model, and no query uses it.
-
 A document's threshold is that of its language: the quantile QUANTILE of the trusted documents' mean log-likelihoods per
 symbol, widened by SHORT / sqrt(n) for a text of n symbols, whose mean varies more. Documents beyond it are rejected.
 
@@ -17,103 +14,18 @@ an id are counted and scored each. Without trusted text nothing is rejected but
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomshift.llm import char_model
-from loomshift.llm.shared import arrow_rows, by_bytes, text_of, written
+from loomshift.llm.shared import arrow_rows, text_of, tidy, written
 
-ORDER = 4
-SYMBOLS = 64
 QUANTILE = 0.999
 SHORT = 2.0
 #: Trusted ids up to which they are sent to all tasks (8 bytes each); more are joined by a shuffle.
 MOST_SENT = 2_000_000
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 63, np.uint8)
-    out[97:123] = np.arange(26)
-    out[65:91] = np.arange(26, 52)
-    out[48:58] = 52
-    out[[9, 32]] = 53
-    out[[10, 13]] = 54
-    for at, marks in enumerate((b".", b",;:", b"!?", b"'\"", b"-_", b"()[]{}", b"#$%&*+/<=>@\\^`|~"), 55):
-        out[list(marks)] = at
-    out[128:192] = 62
-    out[192:] = 63
-    return out
-
-
-_CLASS = _classes()
-
-
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol (after ORDER - 1 line breaks), and each one's text."""
-    raw = [b"\n" * (ORDER - 1) + t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _CLASS[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int32)
-    doc = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
-    size = max(0, len(data) - ORDER + 1)
-    found = np.zeros(size, np.int32)
-    for j in range(ORDER):
-        found = found << 6 | data[j : j + size]
-    whole = doc[:size] == doc[len(doc) - size :]
-    return found[whole], doc[:size][whole]
-
-
-def counts(trusted: DataFrame) -> DataFrame:
-    """(gram, n) over all of `trusted` (text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**ORDER, np.uint32)  # of one task's input
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for lo, hi in by_bytes([len(t) for t in texts]):
-                known, n = np.unique(grams_of(texts[lo:hi])[0], return_counts=True)
-                total[known] += n.astype(np.uint32)
-        held = np.flatnonzero(total)
-        for at in range(0, len(held), 500_000):
-            part = held[at : at + 500_000]
-            yield pd.DataFrame({"gram": part, "n": total[part].astype(np.int64)})
-
-    return trusted.select(text_of().alias("text")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(table: DataFrame) -> list[float]:
-    """D1, D2, D3+ of a count table, kept within what its counts of counts allow."""
-    row = table.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [float(x or 0) for x in row]
-    if not n[0] or not n[1]:
-        return [0.5, 0.75, 0.9]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [float(np.clip(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.1, k - 0.05)) for k in (1, 2, 3)]
-
-
-def probabilities(table: DataFrame) -> np.ndarray:
-    """The natural log of P(w | ctx) for all SYMBOLS ** ORDER n-grams."""
-    orders = [table]
-    for k in range(ORDER - 1, 0, -1):  # how many different symbols come before each shorter n-gram
-        orders.append(orders[-1].groupBy(F.expr(f"gram & {SYMBOLS**k - 1}").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    shorter = np.full(1, 1 / SYMBOLS, np.float32)
-    for k, own in enumerate(reversed(orders), 1):
-        d = _discounts(own)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        shards = own.withColumn("cut", F.least(cut, F.col("n"))).withColumn("ctx", F.shiftright("gram", 6))
-        sums = shards.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-        joined = shards.join(sums, "ctx").select("ctx", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("gamma")).toPandas()
-        gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
-        gamma[joined["ctx"]] = joined["gamma"]
-        shorter = np.tile(shorter, SYMBOLS)
-        shorter *= np.repeat(gamma, SYMBOLS)
-        shorter[joined["gram"]] += joined["p"].to_numpy(np.float32)
-    np.maximum(shorter, 1e-12, out=shorter)
-    return np.log(shorter, out=shorter)
-
-
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold (of a long text of the language) and kept for each row of `docs` (doc_id, text, lang).
 
@@ -122,11 +34,13 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     arrow_rows(docs.sparkSession)
     ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
     near = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    table = written(char_model.counts(docs.select("doc_id", "text").join(near, "doc_id", "left_semi")), "counts")
-    if table.isEmpty():
+    with tidy() as kept_tables:
+        table = written(char_model.counts(docs.select("doc_id", "text").join(near, "doc_id", "left_semi")), "counts")
+        rows = None if table.isEmpty() else char_model.scored(docs, char_model.train(table))
+        kept_tables += [] if rows is None else [rows]
+    if rows is None:
         plain = docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length(text_of()) > 0).alias("kept"))
         return plain
-    rows = char_model.scored(docs, char_model.train(table))
     level = F.percentile_approx(F.col("nll") - SHORT / F.sqrt("n_symbols"), QUANTILE, 10_000)
     known = rows.where("nll is not null").join(near, "doc_id", "left_semi")
     overall = known.agg(level.alias("x")).first().x
