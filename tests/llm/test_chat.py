@@ -36,10 +36,10 @@ def test_shared_turns_are_emitted_once_and_attention_follows_ancestors(spark):
     rows = [(c, i, r, t, "k") for c, ts in convs.items() for i, (r, t) in enumerate(ts)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string").coalesce(1)
     seq = chat.trees(frame.repartition(1), PATH).collect()
-    assert sum(len(s.nodes) for s in seq) <= 5 + len(seq) - 1
+    assert sum(len(s.node_start) for s in seq) <= 5 + len(seq) - 1
     for s in seq:
-        parent = {i: n.parent for i, n in enumerate(s.nodes)}
-        node = {p: i for i, n in enumerate(s.nodes) for p in range(n.start, n.end)}
+        parent = dict(enumerate(s.node_parent))
+        node = {p: i for i in range(len(s.node_start)) for p in range(s.node_start[i], s.node_end[i])}
         for i in range(len(s.ids)):
             chain, at = set(), node[i]
             while at >= 0:
@@ -50,6 +50,20 @@ def test_shared_turns_are_emitted_once_and_attention_follows_ancestors(spark):
             assert s.positions[i] == len(seen) - 1
 
 
+def test_turns_whose_parts_join_alike_stay_apart(spark):
+    convs = {1: [("user", "x\0y"), ("assistant", "a")], 2: [("user\0x", "y"), ("assistant", "a")], 3: [("us", "er1:x")], 4: [("user", "1:x")], 5: [("", "4:user")], 6: [("user", "")]}
+    rows = [(c, i, r, t) for c, ts in convs.items() for i, (r, t) in enumerate(ts)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.trees(frame, PATH), PATH).collect()}
+    assert got == {k: digests(v) for k, v in convs.items()}
+
+
+def test_rows_without_an_id_are_conversations_each(spark):
+    frame = spark.createDataFrame([(None, i, "user", f"text {i % 3}") for i in range(50)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.trees(frame, PATH), PATH).collect()
+    assert len(got) == 50 and all(r.conv_id is None and r.n_turns == 1 for r in got) and len({r.turns_sha256 for r in got}) == 3
+
+
 def test_nulls_ties_repeats_and_empty(spark):
     rows = [(1, None, "user", None), (1, 0, None, "b"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (None, 0, "user", "z"), (2, 0, "user", "é" * 100_000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
