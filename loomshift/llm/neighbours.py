@@ -5,12 +5,16 @@ Equal vectors are one class with its KEEP smallest ids, as no larger id of a cla
 more coordinate, sqrt(M^2 - |x|^2), the largest inner product is the smallest Euclidean distance.
 
 In a block the index is LINES sorted arrays, one for each random projection. A query's windows are centred on its own
-projections, and widen by virtual rehashing: the same arrays, a window WIDEN times as wide. A vector that lies in
-THRESHOLD windows or more is verified: its inner product is taken in double precision on the original vectors. The search
-ends when the windows are REACH times as wide as the distance of the k-th best vector found so far, so a vector nearer
-than that has been passed over with a chance of a few in a thousand only; dense regions widen less, sparse ones more.
-
-The query set meets the blocks in blocks of QUERIES vectors. Each pair of blocks is a task's group of bounded size, and
+projections; by virtual rehashing the same arrays serve any window width. At width REACH * r a vector at distance r lies in
+a line's window with the probability p of a normal variable within REACH deviations; THRESHOLD is the number of windows that
+such a vector lies in with all but a chance of MISSED, from the binomial distribution. Vectors in as many windows or more are
+verified: their inner products are taken in double precision on the original vectors. The windows widen until they are
+REACH times as wide as the distance of the k-th best vector found, and no further. So a vector nearer than that is
+passed over with a chance of MISSED at most, nearer ones with less, while one farther away by a few tenths is hardly ever
+verified. Outside of the windows lie fewer entries than inside, so those are counted.
+
+The query set meets the blocks in blocks of QUERIES vectors. Each pair of blocks is a task's group of bounded size (fewer queries where
+cores would idle), and
 gives its best KEEP entries for each query; these are merged by rank with a limit before the shuffle.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Only vectors of one
@@ -20,20 +24,39 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomshift.llm.shared import arrow_rows, written
+from loomshift.llm.shared import arrow_rows, lean, written
+
+LINES = 640
+REACH = 1.45
+MISSED = 0.06
+WIDEN = 1.1
+BLOCK = 16384
+QUERIES = 4096
+#: Queries of a task that widen their windows together.
+TOGETHER = 128
+
 
-LINES = 24
-THRESHOLD = 14
-REACH = 1.28
-WIDEN = 1.2
-BLOCK = 8192
-QUERIES = 1024
+def _threshold() -> int:
+    """The most windows that a vector at distance r lies in with a chance of 1 - MISSED or more, when windows are REACH * r wide."""
+    p = math.erf(REACH / math.sqrt(2))
+    chance, at = 0.0, LINES
+    while at > 0:
+        chance += math.exp(math.lgamma(LINES + 1) - math.lgamma(at + 1) - math.lgamma(LINES - at + 1) + at * math.log(p) + (LINES - at) * math.log1p(-p))
+        if chance >= 1 - MISSED:
+            break
+        at -= 1
+    return at
+
+
+THRESHOLD = _threshold()
 
 
 class Index:
@@ -49,46 +72,63 @@ class Index:
         self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(at.T, self.order, 1))
         self.usual = 0.0  # the width that the last search ended with
+        self.verified = self.asked = 0
+
+    def _newly(self, i: int, spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """How many lines have each row in the spans (begins and ends by query and line) of query i."""
+        parts = [o[a:b] for begins, ends in spans for o, a, b in zip(self.order, begins[i].tolist(), ends[i].tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=len(self.x)).astype(np.int16)
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with the k largest inner products found, and these; best first."""
+    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows with the k largest inner products found, and these, best first. All queries widen their windows together."""
         n = len(self.x)
-        centre = q @ self.lines[:-1]
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        high, width = low.copy(), self.usual * 0.9
-        if not width:
-            place = np.minimum(low + max(k, n // 20), n - 1)
-            width = float(np.median(np.abs(self.values[np.arange(LINES), place] - centre))) + 1e-9
-        hits = np.zeros(n, np.int32)
-        seen = np.zeros(n, bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        far = self.top + float(q @ q)
-        while True:
-            fresh = []
-            for j in range(LINES):
-                a, b = np.searchsorted(self.values[j], (centre[j] - width, centre[j] + width))
-                a, b = min(a, low[j]), max(b, high[j])
-                fresh += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            hits += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            new = np.flatnonzero((hits >= THRESHOLD) & ~seen)
-            seen[new] = True
-            if len(new):
-                rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.x[new] @ q])
-                if len(rows) > k:
-                    best = np.argpartition(-scores, k - 1)
-                    edge = scores[best[k - 1]]
-                    rows, scores = rows[scores >= edge], scores[scores >= edge]
-            if len(rows) >= min(k, n):
-                worst = np.partition(scores, len(scores) - min(k, n))[len(scores) - min(k, n)]
-                if width >= REACH * np.sqrt(max(0.0, far - 2 * worst)):
-                    self.usual = width
-                    break
-            if ((low == 0) & (high == n)).all():
-                break
-            width *= WIDEN
-        order = np.lexsort((rows, -scores))
-        return rows[order], scores[order]
+        k = min(k, n)
+        centre = queries @ self.lines[:-1]
+        far = self.top + (queries * queries).sum(1)
+        some = self.x[:: max(1, n // 64)]
+        near = np.sort(queries @ some.T, axis=1)[:, -min(2, len(some))]  # not the query itself
+        width = np.full(len(queries), self.usual * 0.98) if self.usual else 0.8 * REACH * np.sqrt(np.maximum(far - 2 * near, 1e-18))
+        low = high = outside = None
+        seen = np.zeros((len(queries), n), bool)
+        rows, scores = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries)
+        live = np.arange(len(queries))
+        while len(live):
+            lows, highs = np.empty((len(live), LINES), np.int64), np.empty((len(live), LINES), np.int64)
+            for j, v in enumerate(self.values):
+                lows[:, j] = np.searchsorted(v, centre[live, j] - width[live])
+                highs[:, j] = np.searchsorted(v, centre[live, j] + width[live], side="right")
+            if outside is None:  # what lies outside of the windows
+                spans = [(np.zeros_like(lows), lows), (highs, np.full_like(highs, n))]
+                outside = np.stack([self._newly(i, spans) for i in range(len(live))])
+            else:
+                spans = [(lows, low[live]), (high[live], highs)]
+                for i, q in enumerate(live.tolist()):
+                    outside[q] -= self._newly(i, spans)
+            if low is None:
+                low, high = lows, highs
+            else:
+                low[live], high[live] = lows, highs
+            going = []
+            for q in live.tolist():
+                new = np.flatnonzero((outside[q] <= LINES - THRESHOLD) & ~seen[q])
+                seen[q, new] = True
+                rows[q], scores[q] = np.concatenate([rows[q], new]), np.concatenate([scores[q], self.x[new] @ queries[q]])
+                wanted = math.inf
+                if len(rows[q]) >= k:
+                    worst = float(np.partition(scores[q], len(rows[q]) - k)[len(rows[q]) - k])
+                    wanted = REACH * math.sqrt(max(0.0, far[q] - 2 * worst))
+                if width[q] < wanted and outside[q].any():
+                    width[q] = min(width[q] * WIDEN, wanted)
+                    going.append(q)
+            live = np.array(going, np.int64)
+        self.usual = float(np.median(width))
+        self.verified, self.asked = self.verified + sum(map(len, rows)), self.asked + len(queries)
+        out = []
+        for r, s in zip(rows, scores, strict=True):
+            order = np.lexsort((r, -s))
+            keep = s[order] >= s[order[k - 1]]  # ties of the last one stay
+            out.append((r[order[keep]], s[order[keep]]))
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -97,10 +137,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for each query among `vectors` (vec_id, embedding)."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, part: int = QUERIES) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score for each query among `vectors` (vec_id, embedding). block, part: vectors and queries that meet in a task."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 4096)
+    arrow_rows(spark)
     keep = k + 1
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null").where(usable(F.col("embedding")))
     rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") + 0.0))
@@ -111,7 +151,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     known = least.groupBy("class", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).join(asked, ["class", "embedding"])
     known = written(known.select(F.element_at("ids", 1).alias("class"), F.size("embedding").alias("dims"), "embedding", "ids", "asks"), "classes")
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    blocks, parts = max(1, -(-sizes.n // BLOCK)), max(1, -(-sizes.q // QUERIES))
+    blocks = max(1, -(-sizes.n // block))
+    parts = max(1, -(-sizes.q // part), min(-(-sizes.q // 256), -(-2 * spark.sparkContext.defaultParallelism // blocks)))
     hashed = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(n)).cast("int")
     data = known.select("dims", hashed(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "embedding", "ids")
     queries = known.where("asks").select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), hashed(parts, 2).alias("part"), "class", "embedding")
@@ -121,13 +162,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         if len(left) and len(right):
             left = left.iloc[np.argsort([ids[0] for ids in left["ids"]], kind="stable")]
             index, ids = Index(np.array(left["embedding"].tolist(), float)), left["ids"].tolist()
-            for own, q in zip(right["class"], right["embedding"], strict=True):
-                found, scores = index.search(np.asarray(q, float), keep)
-                got = [np.asarray(ids[r]) for r in found]
-                score = np.repeat(scores, [len(g) for g in got])
-                vec = np.concatenate(got)
-                best = np.lexsort((vec, -score))[:keep]
-                out.append((np.full(len(best), own), vec[best], score[best]))
+            asks, owns = np.array(right["embedding"].tolist(), float), right["class"].to_numpy()
+            for lo in range(0, len(asks), TOGETHER):
+                for own, (found, scores) in zip(owns[lo : lo + TOGETHER], index.search(asks[lo : lo + TOGETHER], keep), strict=True):
+                    got = [np.asarray(ids[r]) for r in found]
+                    score = np.repeat(scores, [len(g) for g in got])
+                    vec = np.concatenate(got)
+                    best = np.lexsort((vec, -score))[:keep]
+                    out.append((np.full(len(best), own), vec[best], score[best]))
+            del index
+            lean()
         if not out:
             return pd.DataFrame({"class": [], "vec_id": [], "score": []})
         return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("class", "vec_id", "score"))})
