@@ -9,6 +9,7 @@ libraries, or with the names of special tokens, go to `tokenizers` whole, so tha
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -48,6 +49,7 @@ class WordBPE:
     """encode(texts) gives the ids of all texts in one array, and where each text's begin."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
