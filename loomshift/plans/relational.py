@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomshift.functions import predicates, scalars
+from loomshift.plans.engine import Engine
 from loomshift.plans.registry import register
+from loomshift.sources.storage import scratch_dir
 from loomshift.sources.tables import table
 
 
@@ -32,13 +34,14 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_sql(name: str, tables: str, text: str, oracle: str | None = None) -> None:
-    """Register a query whose SQL text Spark runs as it stands; `oracle` where DuckDB needs another spelling."""
+    """Register a query that an engine runs over attached tables; `oracle` where DuckDB needs another spelling."""
 
     @register(name, oracle or text)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, scratch_dir(spark))
         for t in tables.split():
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+            engine.attach(t, engine.spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        return engine.query(text)
 
 
 # scans, projection, parameters
@@ -63,7 +66,7 @@ by_sql("filter_between", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantit
 by_sql("filter_null", "nation", "SELECT n_nationkey FROM nation WHERE nullif(n_regionkey, 2) IS NULL UNION ALL SELECT n_nationkey + 100 FROM nation WHERE nullif(n_regionkey, 2) IS NOT NULL")
 by_sql("filter_is_true", "nation", "SELECT n_nationkey, (nullif(n_regionkey, 2) = 1) IS TRUE AS t, (nullif(n_regionkey, 2) = 1) IS NOT TRUE AS nt, (nullif(n_regionkey, 2) = 1) IS FALSE AS f FROM nation")
 by_sql("filter_distinct_from", "nation", "SELECT n_nationkey FROM nation WHERE nullif(n_regionkey, 2) IS DISTINCT FROM 1 AND nullif(n_regionkey, 3) IS NOT DISTINCT FROM nullif(n_regionkey, 3)")
-by_sql("filter_any", "events", "SELECT event_id FROM events WHERE array_contains(array('click', 'error'), event_type)", "SELECT event_id FROM events WHERE event_type = ANY(['click', 'error'])")
+by_sql("filter_any", "events", "SELECT event_id FROM events WHERE event_type = ANY (ARRAY['click', 'error'])", "SELECT event_id FROM events WHERE event_type = ANY(['click', 'error'])")
 by_sql("filter_regex", "customer", "SELECT c_custkey FROM customer WHERE c_name RLIKE '0[13579]$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0[13579]$')")
 
 # joins

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomshift.sources.changelog import DELETE, PUT, Batch, ChangeLog, resolve
-from loomshift.sources.storage import ConcurrentCommit, Manifest
+from loomshift.sources.storage import READERS_SECONDS, ConcurrentCommit, Manifest
 
 
 class KVError(RuntimeError):
@@ -48,28 +50,51 @@ def as_bytes(x: bytes | str) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
 
+#: Pairs of an answer that is one list, and bytes of a value.
+MOST_PAIRS, LONGEST_VALUE = 100_000, 64 << 20
+
+
+def bounded(rows: DataFrame) -> list:
+    """The rows of an answer that is one list; too many raise instead of filling the driver."""
+    found = rows.limit(MOST_PAIRS + 1).collect()
+    if len(found) > MOST_PAIRS:
+        raise BadRequest(f"more than {MOST_PAIRS} pairs; set a LIMIT, or stream them")
+    return found
+
+
 class KVStore:
     """The store in the folder `root`. Each call that writes commits one batch in one step."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.manifest = Manifest(spark, self.root, {"batches": [], "next": 1})
+        self.manifest = Manifest(spark, self.root, {"batches": [], "next": 1, "epochs": {}, "retired": []})
 
     def _log(self, state: dict | None = None) -> ChangeLog:
         state = state or self.manifest.latest()[1]
         return ChangeLog(self.spark, self.root, SCHEMA, ["key"], [Batch(*b) for b in state["batches"]])
 
-    def _append(self, rows: DataFrame) -> None:
+    def _append(self, rows: DataFrame, count: int = -1, source: str | None = None, epoch: int = 0) -> None:
+        """Commit a batch. With a source, only if it has not committed this epoch or a later one before."""
         for _ in range(20):
             version, state = self.manifest.latest()
-            batch = self._log(state).stage(rows, state["next"])
-            state["batches"].append([batch.number, batch.folder])
+            if source is not None:
+                if state["epochs"].get(source, -1) >= epoch:
+                    return
+                state["epochs"][source] = epoch
+            log = self._log(state)
+            batch = log.stage(rows, state["next"])
+            batch.rows = log.count(batch) if count < 0 else count
+            state["batches"].append(batch.listed())
             state["next"] += 1
             try:
                 self.manifest.commit(version, state)
-                return
             except ConcurrentCommit:
                 self.manifest.files.remove(f"{self.root}/{batch.folder}")
+                continue
+            if self._log(state).worth_compacting():
+                with contextlib.suppress(ConcurrentCommit):  # another writer may do it
+                    self.compact()
+            return
         raise ConcurrentCommit("too many other writers")
 
     def table(self) -> DataFrame:
@@ -108,26 +133,26 @@ class KVStore:
     def batch(self, ops: list[Op]) -> int:
         """All operations in order, as one commit."""
         for op in ops:
-            if op.kind not in ("put", "delete") or not op.key or op.kind == "put" and op.value is None:
-                raise BatchFailed(f"can't carry out {op}")
+            if op.kind not in ("put", "delete") or not op.key or op.kind == "put" and not op.value or op.value is not None and len(op.value) > LONGEST_VALUE:
+                raise BatchFailed(f"can't carry out {op.kind} of {op.key[:40]!r}")
         if ops:
             rows = [(op.key, op.value, PUT if op.kind == "put" else DELETE, i) for i, op in enumerate(ops)]
-            self._append(self.spark.createDataFrame(rows, "key binary, value binary, __op string, __row long"))
+            self._append(self.spark.createDataFrame(rows, "key binary, value binary, __op string, __row long"), len(rows))
         return len(ops)
 
-    def ingest(self, rows: DataFrame) -> None:
-        """Put all pairs of a DataFrame (key, value), as one commit. Rows with an `__op` of D are deletes."""
+    def ingest(self, rows: DataFrame, source: str | None = None, epoch: int = 0) -> None:
+        """Put all pairs of a DataFrame (key, value), as one commit. Rows with an `__op` of D are deletes. A source's epoch is committed once."""
         rows = rows if "__op" in rows.columns else rows.withColumn("__op", F.lit(PUT))
-        self._append(rows)
+        self._append(rows, -1, source, epoch)
 
     def compact(self) -> None:
-        """Rewrite the live pairs as one batch, in ranges of keys, and delete the batches before it."""
+        """Rewrite the live pairs as one base. The batches before it go when no reader should still need them."""
         version, state = self.manifest.latest()
         log = self._log(state)
-        batch = log.stage(log.resolved().repartitionByRange("key").sortWithinPartitions("key"), state["next"], PUT)
-        self.manifest.commit(version, {"batches": [[batch.number, batch.folder]], "next": state["next"] + 1})
-        for old in log.batches:
-            self.manifest.files.remove(f"{self.root}/{old.folder}")
+        batch = log.compacted(state["next"])
+        retired = state["retired"] + [[time.time(), b.folder] for b in log.batches]
+        self.manifest.commit(version, state | {"batches": [batch.listed()], "next": state["next"] + 1, "retired": [r for r in retired if time.time() - r[0] <= READERS_SECONDS]})
+        self.manifest.sweep(self.root, retired)
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
         """Several runs (key, value, null value: deleted), newest first, as one: the newest wins."""
@@ -139,7 +164,18 @@ class KVStore:
 
     def stats(self) -> dict:
         state = self.manifest.latest()[1]
-        return {"batches": len(state["batches"]), "bytes": sum(self.manifest.files.size(f"{self.root}/{f}") for _, f in state["batches"]), "keys": self._log(state).resolved().count()}
+        return {"batches": len(state["batches"]), "bytes": sum(self.manifest.files.size(f"{self.root}/{b[1]}") for b in state["batches"]), "keys": self._log(state).resolved().count()}
+
+    def health(self) -> dict:
+        """Whether the store's manifest can be read."""
+        try:
+            return {"status": "ok", "version": self.manifest.latest()[0]}
+        except Exception as e:
+            return {"status": "error", "message": str(e)[:200]}
+
+    def metrics(self) -> DataFrame:
+        """The statistics as rows of name and value."""
+        return self.spark.createDataFrame([(k, float(v)) for k, v in self.stats().items()], "name string, value double")
 
 
 class KVClient:
@@ -165,7 +201,11 @@ class KVClient:
         self.store.delete(key)
 
     def scan(self, start: str | None = None, end: str | None = None, limit: int = 0) -> list[tuple[str, bytes]]:
-        return [(bytes(r["key"]).decode(), bytes(r["value"])) for r in self.store.scan(start, end, limit).collect()]
+        """At most MOST_PAIRS pairs, as the answer is one list; stream() has no such bound."""
+        return [(bytes(r["key"]).decode(), bytes(r["value"])) for r in bounded(self.store.scan(start, end, limit))]
+
+    def stream(self, start: str | None = None, end: str | None = None) -> Iterator[tuple[str, bytes]]:
+        return ((k.decode(), v) for k, v in self.store.stream(start, end))
 
     def query_raw(self, text: str) -> dict:
         """The answer to a command in the JSON form: values in base64."""
@@ -206,8 +246,9 @@ class BatchWriter:
         return self
 
     def flush(self) -> int:
-        sent, self.ops = self.ops, []
-        return self.store.batch(sent)
+        sent = self.store.batch(self.ops)
+        self.ops = []  # a failed flush keeps them
+        return sent
 
     def __enter__(self) -> BatchWriter:
         return self

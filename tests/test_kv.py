@@ -109,3 +109,40 @@ def test_stream(store, spark, tmp_path):
     stream = spark.readStream.schema("key binary, value binary").parquet(f"{tmp_path}/in")
     ingest_stream(stream, store, f"{tmp_path}/ck").awaitTermination(120)
     assert keys(store.scan()) == ["s1", "s2"]
+
+
+def test_an_epoch_that_runs_again_after_a_later_write_changes_nothing(store, spark):
+    pairs = spark.createDataFrame([(b"k", b"from the stream")], "key binary, value binary")
+    store.ingest(pairs, source="s", epoch=3)
+    store.put("k", "later")
+    store.ingest(pairs, source="s", epoch=3)
+    store.ingest(pairs, source="s", epoch=2)
+    assert store.get("k") == b"later"
+    store.ingest(pairs, source="s", epoch=4)
+    assert store.get("k") == b"from the stream"
+
+
+def test_a_failed_flush_keeps_its_operations(store):
+    client = KVClient(store)
+    writer = client.batch()
+    writer.put("a", "1").put("", "2")
+    with pytest.raises(BadRequest):
+        writer.flush()
+    assert len(writer.ops) == 2
+    writer.ops.pop()
+    assert writer.flush() == 1 and writer.ops == [] and client.get("a") == b"1"
+
+
+def test_compaction_leaves_batches_to_their_readers(store, monkeypatch):
+    from loomshift.sources import kv, storage
+
+    store.put("a", "1")
+    store.put("b", "2")
+    planned = store.scan()
+    store.compact()
+    assert keys(planned) == ["a", "b"] and store.health()["status"] == "ok"
+    monkeypatch.setattr(kv, "READERS_SECONDS", -1.0)
+    monkeypatch.setattr(storage, "READERS_SECONDS", -1.0)
+    store.put("c", "3")
+    store.compact()
+    assert keys(store.scan()) == ["a", "b", "c"] and len(store.manifest.files.names(f"{store.root}/batches")) == 1
