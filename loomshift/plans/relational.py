@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomshift.functions import predicates, scalars
+from loomshift.operators import relational
 from loomshift.plans.engine import Engine
 from loomshift.plans.registry import register
 from loomshift.sources.storage import scratch_dir
@@ -171,3 +172,30 @@ def predicate_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
             predicates.between(F.col("n_nationkey"), F.lit(9), F.lit(3), symmetric=True).alias("b"),
         )
     )
+
+
+@register("join_checked", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def join_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right side is sent out only if its size, which is counted, allows it."""
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return relational.join_checked(table(spark, sf_dir, "orders"), rich, "o_custkey").select("o_orderkey", "c_mktsegment")
+
+
+@register("join_range", "SELECT o_orderkey, lo FROM orders JOIN (SELECT CAST(i * 700 AS BIGINT) AS lo, CAST(i * 700 + 1000 AS BIGINT) AS hi FROM range(40) t(i)) s ON o_custkey >= lo AND o_custkey < hi")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping ranges by buckets: an equi-join in place of a nested loop."""
+    spans = spark.range(40).selectExpr("id * 700 AS lo", "id * 700 + 1000 AS hi")
+    return relational.range_join(table(spark, sf_dir, "orders"), spans, "o_custkey", "lo", "hi", 500).select("o_orderkey", "lo")
+
+
+@register("agg_salted", "SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS top FROM lineitem GROUP BY l_returnflag")
+def agg_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few, hot keys in two steps."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_extendedprice")
+    return relational.grouped_salted(rows, ["l_returnflag"], 16, {"n": F.count(F.lit(1)), "top": F.max("l_extendedprice")}, {"n": F.sum("n"), "top": F.max("top")})
+
+
+@register("distinct_on", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user."""
+    return relational.distinct_on(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], F.col("event_id"))
