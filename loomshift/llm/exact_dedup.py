@@ -4,8 +4,9 @@ Three stages, each comparing whole texts (the digest only deals rows out):
 1. each task merges equal texts that it has read (the partial aggregation before the shuffle),
 2. the partial groups of (digest, text, salt) are merged; the salt spreads a hot text over SALTS tasks,
 3. the at most SALTS winners of a text are combined.
-Documents then find their group by (digest, salt), again spread by salt. If two texts ever share a digest, the documents
-are matched by text as well.
+Documents then find their group by a join on (digest, salt), which adaptive execution splits further where one text is hot, as
+nothing after it needs a key's rows together. If two texts ever share a digest, the documents are matched by text as well;
+and if ids repeat, equal rows are numbered by (digest, doc_id) in a step of its own, so that one of them is kept.
 
 Nulls and ties: a null text counts as empty. A null doc_id loses against any other. Of rows that repeat both doc_id and
 text, one is kept. Extra columns are not read by `assign_groups`, whatever their names, and are kept by `keep_one`.
@@ -49,17 +50,18 @@ def assign_groups(docs: DataFrame) -> DataFrame:
         rows = rows.drop("text")
     spread = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1)")
     many = many.withColumn("salt", F.explode(spread)).drop("salts")
-    again = Window.partitionBy(*keys, "doc_id").orderBy("doc_id")
-    return (
-        rows.join(many, keys, "left")
-        .withColumn("copy", F.row_number().over(again))
-        .select(
-            "doc_id",
-            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+    found = rows.join(many, keys, "left")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        found = found.withColumn("copy", F.lit(1))
+    else:
+        again = Window.partitionBy("doc_id", *[k for k in keys if k != "salt"]).orderBy("doc_id")
+        found = found.withColumn("copy", F.row_number().over(again))
+    return found.select(
+        "doc_id",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
