@@ -7,7 +7,8 @@ the tokens before it in its own node. The loss mask marks the tokens of assistan
 
 Template: each turn is <s>[ROLE]role[/ROLE][INST]text[/INST]</s>. Inside roles and texts a backslash doubles, and a control
 string gets one after its first character; dropping each backslash that protects a character gives the text back.
-Header, text and footer of a turn are encoded apart, byte-level, so that tokens never mix control and content.
+Header, text and footer of a turn are encoded apart, byte-level, so that tokens never mix control and content. Runs of over
+LONGEST_RUN characters without a break are encoded in parts.
 
 Trees are dealt out by order: conversations are sorted by the digests of their prefixes over range partitions (ties by
 conv_id), so those that share turns are neighbours, and a first turn of a third of all conversations is spread over many
@@ -23,6 +24,7 @@ repeated turns, and each row of a null conv_id is a conversation by itself. Extr
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -39,6 +41,11 @@ from loomshift.llm.shared import arrow_rows, by_bytes, leaving_little
 
 #: The template's control strings.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
+#: Fixed value: how the vocabulary's texts are cut before merging.
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a run without white space, or of white space, that are merged together.
+LONGEST_RUN = 1000
+_RUN = re.compile(r"\S{1001,}|\s{1001,}")
 #: Characters of conversations whose new turns are encoded together.
 BLOCK = 1_000_000
 _PROTECT = re.compile(r"\\|<(?=/?s>)|\[(?=/?(?:INST|ROLE)\])")
@@ -65,29 +72,34 @@ def turns_in(formatted: str) -> list[tuple[str, str]]:
 
 
 class ByteTokens:
-    """A byte-level BPE vocabulary: any text to ids and back."""
+    """A byte-level BPE vocabulary (lines of base64 bytes and rank): any text to ids and back."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        odd = iter(range(256, 512))
-        letter = {chr(b) if b in plain else chr(next(odd)): b for b in range(256)}
-        special = {a.content for a in self.model.get_added_tokens_decoder().values()}
-        raw = {i: p.encode() if p in special else bytes(letter[c] for c in p) for p, i in self.model.get_vocab().items()}
-        held = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.model = tiktoken.Encoding(os.path.basename(path), pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+        held = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            held[i] = raw
         self.size = np.array([len(r) for r in held])
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(held), np.uint8)
 
+    def _ids(self, text: str) -> np.ndarray:
+        if len(text) <= LONGEST_RUN or not _RUN.search(text):
+            return np.array(self.model.encode_ordinary(text), np.int32)
+        parts, done = [], 0
+        for m in _RUN.finditer(text):  # the cost of a run without a break grows faster than its length
+            parts += [text[done : m.start()], *[m[0][i : i + LONGEST_RUN] for i in range(0, len(m[0]), LONGEST_RUN)]]
+            done = m.end()
+        return np.concatenate([np.array(self.model.encode_ordinary(p), np.int32) for p in [*parts, text[done:]]])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Texts met together that recur, such as headers, are encoded once."""
-        known = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-        found = [np.array(x.ids, np.int32) for x in self.model.encode_batch_fast(list(known), add_special_tokens=False)]
-        return [found[known[t]] for t in texts]
+        known = {t: self._ids(t) for t in dict.fromkeys(texts)}
+        return [known[t] for t in texts]
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all ids, and where each id's begin (one more than ids)."""

@@ -95,7 +95,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(quoted).alias("text")
     )
-    path = vocabulary("byte_bpe_50k.json")
+    path = vocabulary("byte_bpe_50k.tiktoken")
     return chat.read_back(chat.trees(rows.unionByName(extra), path), path)
 
 

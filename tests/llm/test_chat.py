@@ -2,10 +2,11 @@ import hashlib
 import itertools
 
 import public_tokenizers
+from tokenizers import Tokenizer
 
 from loomshift.llm import chat, queries
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def digests(turns):
@@ -50,6 +51,17 @@ def test_shared_turns_are_emitted_once_and_attention_follows_ancestors(spark):
             assert s.positions[i] == len(seen) - 1
 
 
+def test_ids_equal_the_library_and_long_runs_come_back():
+    own, library = chat.tokens(PATH), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    texts = ["", "Hello  world's 12", "日本 é\0x", "<|endoftext|> a\n\n b", "don't  \t x "]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in ["é" * 100_000, "a b" * 900 + "x" * 5000 + " " * 3000 + "y", "\0" * 3000]:
+        ids = own.encode([t])[0]
+        assert own.decode(ids)[0].decode() == t
+
+
 def test_turns_whose_parts_join_alike_stay_apart(spark):
     convs = {1: [("user", "x\0y"), ("assistant", "a")], 2: [("user\0x", "y"), ("assistant", "a")], 3: [("us", "er1:x")], 4: [("user", "1:x")], 5: [("", "4:user")], 6: [("user", "")]}
     rows = [(c, i, r, t) for c, ts in convs.items() for i, (r, t) in enumerate(ts)]
