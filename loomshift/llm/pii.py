@@ -30,9 +30,11 @@ from loomshift.llm.shared import arrow_rows, leaving_little, text_of
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login")
 BASE = KINDS[:4]
 
-#: The cues of identifiers and of secrets.
-ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "customer id", "user id", "member id")
-SECRET_CUES = ("token", "api_key", "api key", "apikey", "secret", "password", "passwd")
+#: The cues of identifiers and of secrets, in English, German, French and Spanish.
+ACCOUNT_CUES = (
+    "account", "acct", "iban", "passport", "ssn", "customer id", "user id", "member id", "konto", "kontonummer", "kundennummer", "reisepass", "compte", "numéro de client", "passeport", "cuenta", "número de cliente", "pasaporte",
+)
+SECRET_CUES = ("token", "api_key", "api key", "apikey", "secret", "password", "passwd", "passwort", "kennwort", "mot de passe", "contraseña")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 
 _DIGITS = frozenset("0123456789")
@@ -42,7 +44,7 @@ _PHONE = _DIGITS | frozenset(" ().-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
-_ACCOUNT = re.compile(r"(?: (?:no|nr|number|id)\b\.?)? ?[:#=]? ?")
+_ACCOUNT = re.compile(r"(?: (?i:no|nr|num|number|nummer|numéro|número|id)\b\.?)? ?[:#=]? ?")
 _ACCOUNT_ID = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33}")
 _SECRET = re.compile(r" ?[:=] ?[\"']?([A-Za-z0-9_\-+/=.]{8,})")
 _LOGIN = re.compile(r"[^\s/?#@]+@[^\s/?#]+")

@@ -46,3 +46,10 @@ def test_find_handles_nulls_repeats_and_extra_columns(spark):
 def test_redact_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "to a@b.org", 10), (2, None, 0)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()] == [(1, "to [EMAIL]", 10), (2, None, 0)]
+
+
+def test_cues_of_several_languages():
+    for text, kind, value in [("Konto Nr. 12345678", "account", "12345678"), ("KUNDENNUMMER: A12345", "account", "A12345"), ("compte numéro 4455667788", "account", "4455667788"), ("pasaporte XK123456", "account", "XK123456"), ("Passwort: geheim123", "secret", "geheim123"), ("mot de passe = abc12345!", "secret", "abc12345")]:
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text) if pii.KINDS[k] == kind] == [(kind, value)]
+    for text in ("das Konto ist offen", "le compte est bon", "contraseña", "kontonummer"):
+        assert pii.spans_of(text) == []
