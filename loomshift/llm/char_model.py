@@ -27,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshift.llm.shared import by_bytes, drop_written, leaving_little, text_of, written
+from loomshift.llm.shared import by_bytes, drop_written, lean, leaving_little, text_of, written
 
 ORDER = 4
-BLOCK = 8_000_000
+#: Bytes of a block of texts, of the texts that are worked on at once, and grams of an Arrow batch.
+BLOCK, CHUNK, PART = 24_000_000, 1_500_000, 200_000
 
 
 @dataclass
@@ -42,30 +43,67 @@ class Model:
     unseen: float
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The place among the distinct grams of the gram that ends at each character, each one's text, and the distinct grams."""
-    raw = [("\n" * (ORDER - 1) + t).encode("utf-32-le", "replace") for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint32)
-    size = max(0, len(data) - ORDER + 1)
-    ends = np.cumsum([len(r) // 4 for r in raw])
-    whole = np.ones(len(data), bool)
-    for j in range(1, ORDER):
-        whole[ends - j] = False
-    start = np.flatnonzero(whole[:size])
-    doc = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 4 - ORDER + 1 for r in raw])
-    symbols, letters = pd.factorize(data)
-    key, most = np.zeros(len(start), np.int64), 1
-    for j in range(ORDER):
-        if most * len(letters) >= 1 << 63:
-            key, known = pd.factorize(key)
-            most = len(known)
-        key = key * len(letters) + symbols[start + j]
-        most *= max(1, len(letters))
-    at, known = pd.factorize(key)
-    first = np.zeros(len(known), np.int64)
-    first[at[::-1]] = start[::-1]
-    joined = data[first[:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le")
-    return at, doc, [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+class Grams:
+    """The grams of a block of texts: one for each character, which it ends with. Worked out a chunk of texts at a time.
+
+    A block tells 65,536 characters apart; should it hold more, the last ones count as U+FFFD.
+    """
+
+    def __init__(self, texts: list[str] | pa.ChunkedArray) -> None:
+        self.texts = texts
+        self.chunks = by_bytes(pc.binary_length(texts).to_pylist() if isinstance(texts, pa.ChunkedArray) else [len(t) for t in texts], CHUNK)
+        seen = np.zeros(0x110000, bool)
+        seen[10] = True
+        for lo, hi in self.chunks:
+            seen[self._codes(lo, hi)[0]] = True
+        letters = np.flatnonzero(seen)
+        self.letters = np.append(letters[:65_535], 0xFFFD) if len(letters) > 65_536 else letters
+        self.bits = max(1, int(len(self.letters) - 1).bit_length())
+        self.number = np.full(0x110000, len(self.letters) - 1, np.int32)
+        self.number[self.letters] = np.arange(len(self.letters))
+
+    def _codes(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of some texts, each after ORDER - 1 line breaks, and how many each text has of its own."""
+        texts = self.texts[lo:hi].to_pylist() if isinstance(self.texts, pa.ChunkedArray) else self.texts[lo:hi]
+        raw = "".join(["\n" * (ORDER - 1) + t for t in texts]).encode("utf-32-le", "replace")
+        return np.frombuffer(raw, np.uint32), np.array([len(t) for t in texts], np.int64)
+
+    def keys(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each gram of some texts, and each one's text."""
+        codes, sizes = self._codes(lo, hi)
+        symbols = self.number[codes]
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        start = np.arange(len(doc)) + doc * np.int64(ORDER - 1)
+        key = symbols[start].astype(np.uint64)
+        for j in range(1, ORDER):
+            key = key << np.uint64(self.bits) | symbols[start + j].astype(np.uint64)
+        return key, doc
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys of the block, and how often each occurs."""
+        parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, hi in self.chunks:
+            at, known = pd.factorize(self.keys(lo, hi)[0])
+            parts.append(known)
+            counts.append(np.bincount(at, minlength=len(known)))
+        found, place = np.unique(np.concatenate(parts), return_inverse=True)
+        return found, np.bincount(place, np.concatenate(counts), minlength=len(found)).astype(np.int64)
+
+    def spelt(self, keys: np.ndarray) -> list[str]:
+        """The grams of keys as strings."""
+        shifts = (np.arange(ORDER - 1, -1, -1) * self.bits).astype(np.uint64)
+        joined = self.letters[keys[:, None] >> shifts & np.uint64((1 << self.bits) - 1)].astype(np.uint32).tobytes().decode("utf-32-le")
+        return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+
+    def summed(self, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the number of its grams, and the sum of their logarithms."""
+        n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for lo, hi in self.chunks:
+            own, doc = self.keys(lo, hi)
+            at, known = pd.factorize(own)
+            n.append(np.bincount(doc, minlength=hi - lo))
+            total.append(np.bincount(doc, logs[np.searchsorted(keys, known)][at], minlength=hi - lo))
+        return np.concatenate(n), np.concatenate(total)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -84,14 +122,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _packed(rows: pa.Table) -> tuple[int, bytes]:
-    """The id of a block and its compressed rows."""
+def _id(rows: pa.Table) -> int:
+    """The id of a block: a hash of its texts and ids, in order."""
+    found = hashlib.blake2b(digest_size=8)
+    for lo in range(0, len(rows), 4096):
+        part = rows.slice(lo, 4096)
+        texts = part["text"].to_pylist()
+        found.update(f"{part['doc_id'].to_pylist()}{[len(t) for t in texts]}{part['lang'].to_pylist()}".encode())
+        found.update("".join(texts).encode("utf-8", "replace"))
+    return int.from_bytes(found.digest(), "big", signed=True)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """The compressed rows of a block."""
     sink = pa.BufferOutputStream()
     rows = rows.combine_chunks()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 12))) as out:
         out.write_table(rows)
-    blob = sink.getvalue().to_pybytes()
-    return int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True), blob
+    return sink.getvalue().to_pybytes()
 
 
 def counts(trusted: DataFrame) -> DataFrame:
@@ -99,8 +147,10 @@ def counts(trusted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            at, _, grams = grams_of(rows["text"].to_pylist())
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": np.bincount(at, minlength=len(grams)).astype(np.int64)})
+            grams = Grams(rows["text"])
+            keys, n = grams.distinct()
+            for lo in range(0, len(keys), PART):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams.spelt(keys[lo : lo + PART]), pa.string()), "n": n[lo : lo + PART]})
 
     return trusted.select(text_of().alias("text")).mapInArrow(leaving_little(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -160,30 +210,34 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
-            block, grams = _packed(part)[0], grams_of(part["text"].to_pylist())[2]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(grams), block)), "at": pa.array(np.arange(len(grams), dtype=np.int32)), "gram": pa.array(grams, pa.string())})
+            block, grams = _id(part), Grams(part["text"])
+            found, _ = grams.distinct()
+            for lo in range(0, len(found), PART):
+                own = grams.spelt(found[lo : lo + PART])
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "at": pa.array(np.arange(lo, lo + len(own), dtype=np.int32)), "gram": pa.array(own, pa.string())})
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
-            block, blob = _packed(part)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "packed": pa.array([blob], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([_id(part)], pa.int64()), "packed": pa.array([_packed(part)], pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         logs = np.full(int(pc.max(right["at"]).as_py() or 0) + 1 if len(right) else 0, np.nan)
         logs[right["at"].to_numpy()] = np.log(np.maximum(right["p"].to_numpy(), 1e-300))
+        del right
         out = []
         for blob in left["packed"].to_pylist() or [None]:
             if blob is None:
                 raise RuntimeError("the rows of the documents were dealt to other blocks when they were read again")
             part = pa.ipc.open_stream(blob).read_all()
-            at, doc, grams = grams_of(part["text"].to_pylist())
-            if len(grams) != len(logs) or np.isnan(logs).any():
+            grams = Grams(part["text"])
+            found, _ = grams.distinct()
+            if len(found) != len(logs) or np.isnan(logs).any():
                 raise RuntimeError("the rows of the documents were dealt to other blocks when they were read again")
-            n = np.bincount(doc, minlength=len(part))
-            nll = -np.bincount(doc, logs[at], minlength=len(part)) / np.maximum(n, 1)
-            out.append(pa.table({"doc_id": part["doc_id"], "lang": part["lang"], "n_symbols": n.astype(np.int64), "nll": pa.array(nll, mask=n == 0)}))
+            n, total = grams.summed(found, logs)
+            out.append(pa.table({"doc_id": part["doc_id"], "lang": part["lang"], "n_symbols": n, "nll": pa.array(-total / np.maximum(n, 1), mask=n == 0)}))
+        lean()
         return pa.concat_tables(out)
 
     held = written(rows.mapInArrow(leaving_little(keys), "block long, at int, gram string"), "grams")

@@ -1,5 +1,8 @@
 import math
 import random
+from collections import Counter
+
+import numpy as np
 
 from loomshift.llm import quality, queries
 
@@ -95,6 +98,18 @@ def test_characters_equal_a_plain_model(spark):
         assert (got[i].nll is None) == (not t) and (not t or math.isclose(got[i].nll, nll(t, p), rel_tol=1e-5))
 
 
+def test_grams_of_a_block_equal_a_plain_loop():
+    texts = ["abc", "", "日本語テスト", "a\nb", "".join(map(chr, range(0x4E00, 0x4E00 + 9000))), "".join(map(chr, range(0x10000, 0x10000 + 70_000)))]
+    for some in (texts[:5], texts):
+        grams = quality.char_model.Grams(some)
+        keys, n = grams.distinct()
+        got = dict(zip(grams.spelt(keys), n.tolist(), strict=True))
+        want = Counter(g for t in some for g in grams_of("".join(c if grams.number[ord(c)] < 65_535 else "\ufffd" for c in t)))
+        assert got == want
+        sizes, total = grams.summed(keys, np.ones(len(keys)))
+        assert sizes.tolist() == total.tolist() == [len(t) for t in some]
+
+
 def test_thresholds_and_verdicts_equal_a_plain_version(spark):
     rng = random.Random(6)
     words = {"en": ["the", "cat", "sat", "on", "mat", "dog"], "ru": ["кот", "и", "кит", "дом"]}
