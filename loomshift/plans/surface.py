@@ -344,3 +344,56 @@ def kv_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.delete("late")
     store.ingest(spark.createDataFrame([(bytes(name), b"stale")], pairs.schema), source=f"{folder}/progress", epoch=0)
     return store.table().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+# the catalogue, types and files
+
+
+@register("catalog_pg", "SELECT * FROM (VALUES ('customers', 1, 'c_custkey', true, 'bigint'), ('customers', 2, 'c_name', true, 'string'), ('customers', 3, 'c_nationkey', false, 'int'), ('customers', 4, 'c_acctbal', false, 'double'), ('customers', 5, 'c_mktsegment', false, 'string')) t(relname, attnum, attname, attnotnull, typname)")
+def catalog_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customers(spark, sf_dir).query("""SELECT c.relname, a.attnum, a.attname, a.attnotnull, t.typname FROM pg_catalog.pg_class c JOIN pg_catalog.pg_namespace n ON c.relnamespace = n.oid
+        JOIN pg_catalog.pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid WHERE n.nspname = 'public' AND c.relkind = 'r'""")
+
+
+@register("catalog_identity", "SELECT 'customers' AS tablename, 'loomshift' AS tableowner, 'loomshift' AS usename, true AS rolsuper, 'customers_pkey' AS conname, 'p' AS contype, 'public' AS nspname")
+def catalog_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customers(spark, sf_dir).query("""SELECT t.tablename, t.tableowner, u.usename, r.rolsuper, k.conname, k.contype, n.nspname FROM pg_tables t, pg_user u, pg_roles r, pg_constraint k, pg_namespace n
+        WHERE t.tableowner = u.usename AND r.rolname = u.usename AND n.nspname = t.schemaname""")
+
+
+_TYPED = "i INTEGER, b BIGINT, s SMALLINT, r REAL, f FLOAT8, n NUMERIC(12,2), t TEXT, v VARCHAR(9), o BOOLEAN, z TIMESTAMP"
+
+
+@register(
+    "types_declared",
+    """SELECT * FROM (VALUES (1, 'i', 'int'), (2, 'b', 'bigint'), (3, 's', 'bigint'), (4, 'r', 'float'), (5, 'f', 'double'), (6, 'n', 'decimal(12,2)'), (7, 't', 'string'), (8, 'v', 'string'), (9, 'o', 'boolean'), (10, 'z', 'timestamp'))
+       t(ordinal_position, column_name, data_type)""",
+)
+def types_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch_dir(spark))
+    engine.execute(f"CREATE TABLE typed (k INT PRIMARY KEY, {_TYPED})")
+    return engine.query("SELECT ordinal_position - 1 AS ordinal_position, column_name, data_type FROM information_schema.columns WHERE table_name = 'typed' AND column_name <> 'k'")
+
+
+@register(
+    "types_round_trip",
+    """SELECT c_custkey AS k, CAST(c_nationkey AS INT) AS i, c_custkey * 1000000000 AS b, CAST(c_nationkey AS BIGINT) AS s, CAST(0.5 AS DOUBLE) AS r, c_acctbal AS f, CAST(round(c_acctbal, 2) AS DOUBLE) AS n, c_name AS t, substring(c_name, 1, 9) AS v, c_acctbal > 0 AS o,
+       CAST(NULL AS VARCHAR) AS z FROM customer""",
+)
+def types_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type through a write, a compaction, an update and a read."""
+    engine = attached(spark, sf_dir, "customer")
+    engine.execute(f"CREATE TABLE typed (k BIGINT PRIMARY KEY, {_TYPED})")
+    engine.execute("INSERT INTO typed SELECT c_custkey, c_nationkey, c_custkey * 1000000000, c_nationkey, 0.25, c_acctbal, round(c_acctbal, 2), c_name, substr(c_name, 1, 9), c_acctbal > 0, TIMESTAMP '2024-01-01 00:00:00' FROM customer")
+    engine.compact("typed")
+    engine.execute("UPDATE typed SET r = r * 2, z = NULL")
+    return engine.query("SELECT k, i, b, s, CAST(r AS DOUBLE) AS r, f, CAST(n AS DOUBLE) AS n, t, v, o, CAST(z AS STRING) AS z FROM typed")
+
+
+@register("copy_files", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey < 10")
+def copy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out to CSV and Parquet, and back into an emptied table."""
+    engine = customers(spark, sf_dir)
+    engine.execute(f"DELETE FROM customers WHERE c_nationkey >= 10; COPY customers TO '{engine.root}/out_csv' WITH (FORMAT csv, HEADER, DELIMITER ';', NULL 'none'); COPY customers (c_custkey, c_name) TO '{engine.root}/out_parquet' (FORMAT parquet)")
+    engine.execute(f"TRUNCATE TABLE customers; COPY customers (c_custkey, c_name) FROM '{engine.root}/out_parquet' (FORMAT parquet); COPY customers FROM '{engine.root}/out_csv' WITH (FORMAT csv, HEADER true, DELIMITER ';', NULL 'none')")
+    return engine.query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customers")
