@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables in the shared folder that stand, as lazy results may still read them. They go with the driver's process at last.
 _WRITTEN: dict[str, SparkSession] = {}
+#: The paths that this thread has written since the innermost tidy().
+_MADE = threading.local()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -50,6 +53,8 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/loomshift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN[path] = df.sparkSession
+    if hasattr(_MADE, "paths"):
+        _MADE.paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.loomshift_path = path
     return out
@@ -63,11 +68,18 @@ def drop_written(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def tidy() -> Iterator[list[DataFrame]]:
-    """Tables that are written inside go at its end, but for those put into the list."""
-    before, kept = set(_WRITTEN), []
-    yield kept
-    for path in set(_WRITTEN) - before - {df.loomshift_path for df in kept}:
-        _delete(_WRITTEN.pop(path), path)
+    """Tables that this thread writes inside go at its end, but for those put into the list."""
+    outer, _MADE.paths = getattr(_MADE, "paths", []), []
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        stay = [df.loomshift_path for df in kept]
+        for path in _MADE.paths:
+            if path not in stay and path in _WRITTEN:
+                _delete(_WRITTEN.pop(path), path)
+        _MADE.paths = outer
+        _MADE.paths += stay
 
 
 #: Bytes of an Arrow batch, beyond which it ends (a longer row is one by itself), and its rows.
