@@ -4,14 +4,15 @@ Equal vectors are one class with its KEEP smallest ids, as no larger id of a cla
 (the query's own id is one of them at most). Classes are dealt into blocks of BLOCK vectors, and all are indexed. With one
 more coordinate, sqrt(M^2 - |x|^2), the largest inner product is the smallest Euclidean distance.
 
-In a block the index is LINES sorted arrays, one for each random projection. A query's windows are centred on its own
-projections; by virtual rehashing the same arrays serve any window width. At width REACH * r a vector at distance r lies in
-a line's window with the probability p of a normal variable within REACH deviations; THRESHOLD is the number of windows that
-such a vector lies in with all but a chance of MISSED, from the binomial distribution. Vectors in as many windows or more are
-verified: their inner products are taken in double precision on the original vectors. The windows widen until they are
-REACH times as wide as the distance of the k-th best vector found, and no further. So a vector nearer than that is
-passed over with a chance of MISSED at most, nearer ones with less, while one farther away by a few tenths is hardly ever
-verified. Outside of the windows lie fewer entries than inside, so those are counted.
+In a block the index is LINES sorted arrays or a few more, one for each random projection: whole sets of orthogonal lines, whose
+collision counts vary less than those of single ones. A query's windows are centred on its own projections; by virtual
+rehashing the same arrays serve any window width. At width REACH * r a vector at distance r lies in a line's window with a
+probability p that depends on the number of dimensions; the threshold is the number of windows that such a vector lies in
+with all but a chance of MISSED, by the binomial distribution (orthogonal lines miss less). Vectors in as many windows or
+more are verified: their inner products are taken in double precision on the original vectors. The windows widen until
+they are REACH times as wide as the distance of the k-th best vector found, and no further. So a vector nearer than that
+is passed over with a chance of MISSED at most, nearer ones with less, while one farther away by a few tenths is hardly
+ever verified. Outside of the windows lie fewer entries than inside, so those are counted.
 
 The query set meets the blocks in blocks of QUERIES vectors. Each pair of blocks is a task's group of bounded size (fewer queries where
 cores would idle), and
@@ -34,9 +35,9 @@ from pyspark.sql.window import Window
 
 from loomshift.llm.shared import arrow_rows, lean, written
 
-LINES = 640
-REACH = 1.45
-MISSED = 0.06
+LINES = 256
+REACH = 1.8
+MISSED = 0.15
 WIDEN = 1.1
 BLOCK = 16384
 QUERIES = 4096
@@ -44,19 +45,32 @@ QUERIES = 4096
 TOGETHER = 128
 
 
-def _threshold() -> int:
-    """The most windows that a vector at distance r lies in with a chance of 1 - MISSED or more, when windows are REACH * r wide."""
-    p = math.erf(REACH / math.sqrt(2))
-    chance, at = 0.0, LINES
+def collision(dims: int) -> float:
+    """The probability that a unit vector of a random direction, times the root of `dims`, lies within REACH on a line."""
+    if dims == 1:
+        return 1.0
+    angle = np.linspace(0, np.pi / 2, 20_001)
+    density = np.cos(angle) ** (dims - 2)
+    inside = angle <= math.asin(min(1.0, REACH / math.sqrt(dims)))
+    return float(density[inside].sum() / density.sum())
+
+
+def threshold(lines: int, p: float) -> int:
+    """The most windows of `lines` that a vector lies in with a chance of 1 - MISSED or more, each with probability p."""
+    if p >= 1:
+        return lines
+    chance, at = 0.0, lines
     while at > 0:
-        chance += math.exp(math.lgamma(LINES + 1) - math.lgamma(at + 1) - math.lgamma(LINES - at + 1) + at * math.log(p) + (LINES - at) * math.log1p(-p))
+        chance += math.exp(math.lgamma(lines + 1) - math.lgamma(at + 1) - math.lgamma(lines - at + 1) + at * math.log(p) + (lines - at) * math.log1p(-p))
         if chance >= 1 - MISSED:
             break
         at -= 1
     return at
 
 
-THRESHOLD = _threshold()
+def orthogonal(dims: int, rng: np.random.Generator) -> np.ndarray:
+    """At least LINES lines as columns: sets of orthogonal ones, each of the length of the root of `dims`."""
+    return np.concatenate([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-LINES // dims))], axis=1) * math.sqrt(dims)
 
 
 class Index:
@@ -66,8 +80,10 @@ class Index:
         self.x = x
         squares = (x * x).sum(1)
         self.top = float(squares.max())
-        rng = np.random.default_rng(20240229)
-        self.lines = rng.standard_normal((x.shape[1] + 1, LINES))
+        dims = x.shape[1] + 1
+        self.lines = orthogonal(dims, np.random.default_rng(20240229))
+        self.n_lines = self.lines.shape[1]
+        self.most_outside = self.n_lines - threshold(self.n_lines, collision(dims))
         at = np.column_stack([x, np.sqrt(np.maximum(self.top - squares, 0))]) @ self.lines
         self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(at.T, self.order, 1))
@@ -93,7 +109,7 @@ class Index:
         rows, scores = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries)
         live = np.arange(len(queries))
         while len(live):
-            lows, highs = np.empty((len(live), LINES), np.int64), np.empty((len(live), LINES), np.int64)
+            lows, highs = np.empty((len(live), self.n_lines), np.int64), np.empty((len(live), self.n_lines), np.int64)
             for j, v in enumerate(self.values):
                 lows[:, j] = np.searchsorted(v, centre[live, j] - width[live])
                 highs[:, j] = np.searchsorted(v, centre[live, j] + width[live], side="right")
@@ -110,7 +126,7 @@ class Index:
                 low[live], high[live] = lows, highs
             going = []
             for q in live.tolist():
-                new = np.flatnonzero((outside[q] <= LINES - THRESHOLD) & ~seen[q])
+                new = np.flatnonzero((outside[q] <= self.most_outside) & ~seen[q])
                 seen[q, new] = True
                 rows[q], scores[q] = np.concatenate([rows[q], new]), np.concatenate([scores[q], self.x[new] @ queries[q]])
                 wanted = math.inf
